@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_fst import round_trip_public
 from .common import table
 from .exact_dedup import EXACT_SQL, exact_groups
+from .language_id import language_id
 from .license_scan import scan_licenses
+from .packing import pack_with_public
 from .pii import find_pii
+from .token_count import count_tokens_afresh
+from .toxicity import toxicity_of_tables
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_of_tables(spark, sf_dir)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -24,11 +33,32 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens_afresh(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_public(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_with_public(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_toxicity": op2_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_license_scan": op5_license_scan,
+        "op6_language_id": op6_language_id,
+        "op7_token_count": op7_token_count,
+        "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_packing": op10_packing,
     }
 
 
