@@ -11,9 +11,11 @@ from .common import table
 from .exact_dedup import EXACT_SQL, exact_groups
 from .language_id import language_id
 from .license_scan import scan_licenses
+from .near_dedup import near_groups
 from .packing import pack_with_public
 from .pii import find_pii
 from .token_count import count_tokens_afresh
+from .topk_search import TOP_K_SQL, top_k
 from .toxicity import toxicity_of_tables
 
 
@@ -29,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens_afresh(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_public(table(spark, sf_dir, "documents"))
 
@@ -54,13 +64,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_toxicity": op2_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_near_dedup": op4_near_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_language_id": op6_language_id,
         "op7_token_count": op7_token_count,
+        "op8_top_k_search": op8_top_k_search,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_SQL}
+    return {"op3_exact_dedup": EXACT_SQL, "op8_top_k_search": TOP_K_SQL}
