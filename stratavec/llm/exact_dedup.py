@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 FIRST_WIDTH = 64
 GROWTH = 8
+BROADCAST_ROWS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -80,19 +81,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the smallest id.
 
-    Rows that repeat an id among the kept ones are told apart by nothing but their text, so the
-    surviving (id, text digest) pairs select rows, and repeats of a whole pair leave one row.
+    Rows to drop are found by id and text digest in a table of the dropped ones only, broadcast
+    where its counted rows are few. Where rows repeat both an id and a text, one of them is left.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__keep_doc"), F.col("text_sha256").alias("__keep_sha"))
-    own = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    marked = docs.withColumn("__own_sha", own)
-    chosen = marked.join(
-        kept,
-        F.col(id_col).cast("long").eqNullSafe(F.col("__keep_doc")) & (F.col("__own_sha") == F.col("__keep_sha")),
-        "left_semi",
-    )
-    return chosen.dropDuplicates([id_col, "__own_sha"]).drop("__own_sha")
+    gone = written(exact_groups(docs, id_col, text_col).where("not kept").select("doc_id", "keep_id", "text_sha256"), "radix-gone")
+    named = gone.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone_doc"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    marked = docs.withColumn("__own_sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone_doc")) & (F.col("__own_sha") == F.col("__gone_sha"))
+    left = marked.join(named, same, "left_anti")
+    if not gone.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
+        left = left.dropDuplicates([id_col, "__own_sha"])
+    return left.drop("__own_sha")
 
 
 EXACT_SQL = r"""
