@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .arrow import map_rows
 from .tokenizer import public_path
 
-STATE_LIMIT = 150_000
-PIECE_LIMIT = 160_000
+STATE_LIMIT = 300_000
+PIECE_LIMIT = 400_000
 NEVER = 1 << 60
 
 #: Fixed value: White_Space of Unicode, which \s means to the encoders of these files.
@@ -125,8 +125,10 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         """T(piece), byte by byte."""
-        if len(self.states) > STATE_LIMIT or len(self.known) > 4 * STATE_LIMIT:
+        if len(self.states) > STATE_LIMIT:
             self._reset()
+        if len(self.known) > STATE_LIMIT:
+            self.known = {b"": ()}
         out, state = [], self.root
         for byte in piece:
             try:
