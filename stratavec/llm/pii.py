@@ -334,7 +334,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     final = select_spans(staged, "candidates", model, thresholds, settings)
     return final.select(
         "doc_id",
-        *[F.size(F.filter("__sure", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)],
+        *[F.expr(f"CAST(size(filter(__sure, s -> s.kind = {i})) AS BIGINT) AS n_{k}") for i, k in enumerate(BASE)],
         F.sha2(F.expr(SPAN_TEXT.format("__sure")), 256).alias("base_sha256"),
         F.expr(SPAN_TEXT.format("__found")).alias("spans"),
         F.expr(f"transform(__found, s -> struct({NAMES}[s.kind] AS kind, s.start AS start, s.end AS end, s.base AS base, s.score AS score))").alias("found"),
