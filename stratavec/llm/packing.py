@@ -103,9 +103,9 @@ class Packer:
         if self.n > self.s.pool:
             yield from self.pack(self.s.pool // 2)
 
-    def pack(self, leave: int) -> Iterator[tuple]:
-        """Pack waiting pieces, longest tier first, until at most ``leave`` wait."""
-        while self.n > leave:
+    def pack(self, leave: int | None) -> Iterator[tuple]:
+        """Pack waiting pieces, longest tier first, until at most ``leave`` wait; None: to the end."""
+        while self.n > (leave or 0):
             first = self._take(self.window)
             tier = min(t for t in self.s.tiers if t >= first[2])
             pieces, gap = [first], tier - first[2]
@@ -115,10 +115,14 @@ class Packer:
                     break
                 pieces.append(more)
                 gap -= more[2]
-            if gap:
-                yield from self._last(pieces)
-            else:
+            if not gap:
                 yield from self._emit(pieces, tier)
+            elif leave is None:
+                yield from self._last(pieces)
+            else:  # less than a window waits: more may come
+                for piece in pieces:
+                    self._wait(piece)
+                return
 
     def _last(self, pieces: list[tuple]) -> Iterator[tuple]:
         """The last pieces of a partition: full windows of the tiers' lengths, then a padded one."""
@@ -137,7 +141,7 @@ class Packer:
             yield from self._emit(own, tier or self.s.tiers[-1])
 
     def finish(self) -> Iterator[tuple]:
-        yield from self.pack(0)
+        yield from self.pack(None)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, settings: PackSettings = PackSettings(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
