@@ -2,8 +2,8 @@
 
 1. Every text becomes its set of five-word shingles (64-bit hashes); equal sets are one class.
 2. A class has a signature of ``coords`` minima. Two sets of similarity 0.85 agree in 27 of 32
-   coordinates on average; a pair is a candidate when at least ``matches`` (16) agree, which loses a
-   link with a probability below 1e-5.
+   coordinates on average; a pair is a candidate when at least ``matches`` (14) agree, which loses a
+   link with a probability below 2e-8.
 3. Postings: a class is listed under its (coordinate, value) pairs. Values that only one class has
    are skipped; a class with fewer than ``matches`` shared values can have no partner; the others
    are listed under their ``coords - matches + 1`` rarest values only, counting the skipped ones,
@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .arrow import map_rows
 from .common import written
 
-_MEMO_LIMIT = 400_000
+_MEMO_LIMIT = 250_000
 _memo: dict[bytes, int] = {}
 BROADCAST_ROWS = 300_000
 
@@ -48,7 +48,7 @@ class NearSettings:
     words: int = 5
     percent: int = 85
     coords: int = 32
-    matches: int = 16
+    matches: int = 14
     block: int = 2048
     block_bytes: int = 24_000_000
 
@@ -137,25 +137,32 @@ def _struct(schema: str):
     return T.StructType.fromDDL(schema)
 
 
-def forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the graph in which ``near(x, others)`` tells x's neighbours
-    among the members ``others``; each member is compared with the unreached ones only."""
+def trees(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[list[int]]:
+    """The components (of two members or more) of the graph in which ``near(x, others)`` tells x's
+    neighbours among the members ``others``; each member meets the unreached ones only."""
     left = np.arange(count)
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            hit = near(x, left)
-            for y in left[hit].tolist():
-                yield x, y
-                queue.append(y)
+        tree, at, left = [int(left[0])], 0, left[1:]
+        while at < len(tree) and len(left):
+            hit = near(tree[at], left)
+            tree += left[hit].tolist()
             left = left[~hit]
+            at += 1
+        if len(tree) > 1:
+            yield tree
+
+
+def stars(ids: list[bytes], near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+    """For each component an edge from every member to the smallest one."""
+    for tree in trees(len(ids), near):
+        members = sorted(ids[i] for i in tree)
+        for other in members[1:]:
+            yield other, members[0]
 
 
 def signature_forest(ids: list[bytes], signatures: list[bytes], matches: int) -> Iterator[tuple[bytes, bytes]]:
     s = np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(len(ids), -1)
-    for x, y in forest(len(ids), lambda x, others: (s[others] == s[x]).sum(axis=1) >= matches):
-        yield ids[x], ids[y]
+    yield from stars(ids, lambda x, others: (s[others] == s[x]).sum(axis=1) >= matches)
 
 
 def set_forest(ids: list[bytes], sets: list[bytes], percent: int) -> Iterator[tuple[bytes, bytes]]:
@@ -183,8 +190,7 @@ def set_forest(ids: list[bytes], sets: list[bytes], percent: int) -> Iterator[tu
         both = both[np.searchsorted(index["of"], others)]  # others is a sorted part of what was indexed
         return 100 * both >= percent * (sizes[others] + sizes[x] - both)
 
-    for x, y in forest(len(ids), near):
-        yield ids[x], ids[y]
+    yield from stars(ids, near)
 
 
 def in_block_pairs(members: DataFrame, keys: list[str], member: str, payload: str, block: int, block_bytes: int) -> DataFrame:
@@ -206,23 +212,24 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root) for every id of ``edges`` (a, b): root is the smallest id it is connected with.
 
     Alternating large-star and small-star steps on the edge table, each a map-side combined minimum
-    and a join, written to the shared folder; no list of neighbours is ever built.
+    and a join; neither makes more edges than it gets, and no list of neighbours is built. Each round
+    is written to the shared folder. It ends when every id has one edge, to an id that has none.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
-    before = None
     while True:
+        ends = now.select("a", F.col("b").alias("least"), F.col("b").alias("most"), F.lit(False).alias("root"))
+        ends = ends.unionByName(now.select(F.col("b").alias("a"), F.lit(None).cast("binary").alias("least"), F.lit(None).cast("binary").alias("most"), F.lit(True).alias("root")))
+        loose = ends.groupBy("a").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("root").alias("root")).where("least != most or (least is not null and root)")
+        if loose.isEmpty():
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         floor = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(floor, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        now = written(small.where("a != b").distinct(), name)
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            break
-        before = state
-    roots = now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
+        now = written(small.where("a != b"), name)
+    every = now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")))
+    return every.groupBy("id").agg(F.min("root").alias("root"))
 
 
 # ---------------------------------------------------------------- the operator
