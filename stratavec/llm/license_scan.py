@@ -156,3 +156,39 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_join(both, ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(best).cast("double").alias("score"),
     )
+
+
+def license_sql() -> str:
+    """The scan with the default phrases and templates, by comparing every line with every template."""
+    words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    phrases = ", ".join(f"('{label}', {listed(p.split())})" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{label}', {listed(sorted(set(t.split())))})" for label, t in TEMPLATES.items())
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS body FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(body, '{words}') AS ws FROM d
+), ph(label, p) AS (VALUES {phrases}), te(label, t) AS (VALUES {templates}),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(p) - 1] = p)) - 1 AS place FROM w, ph
+), b AS (
+  SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(regexp_split_to_array(body, '[\n\r]+')) AS line FROM d
+), sets AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '{words}')) AS ws FROM lines
+), hits AS (
+  SELECT doc_id, label, len(list_intersect(ws, t)) / len(t) AS share FROM sets, te WHERE len(list_intersect(ws, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)
+), best AS (
+  SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id
+), base AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id
+), every AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo AS first_word, b.hi AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.share, 0)::DOUBLE END AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""

@@ -10,8 +10,8 @@ from .bpe_fst import round_trip_public
 from .common import table
 from .exact_dedup import EXACT_SQL, exact_groups
 from .language_id import language_id
-from .license_scan import scan_licenses
-from .near_dedup import near_groups
+from .license_scan import license_sql, scan_licenses
+from .near_dedup import NEAR_SQL, near_groups
 from .packing import pack_with_public
 from .pii import find_pii
 from .token_count import count_tokens_afresh
@@ -75,4 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_SQL, "op8_top_k_search": TOP_K_SQL}
+    return {
+        "op3_exact_dedup": EXACT_SQL,
+        "op4_near_dedup": NEAR_SQL,
+        "op5_license_scan": license_sql(),
+        "op8_top_k_search": TOP_K_SQL,
+    }
