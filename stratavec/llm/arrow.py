@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE = 512
 
 
+@functools.lru_cache(maxsize=1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: None
+
+
+def trim() -> None:
+    """Give memory that a finished batch took back to the system: workers live on between tasks and
+    would otherwise each keep the most that any stage ever took."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, work: Callable[..., Iterator[tuple]]) -> DataFrame:
     """mapInArrow with ``work(*columns)``, called on short slices of columns as Python lists; it
     yields output rows as tuples. Memory is bounded by a batch and one slice."""
@@ -26,5 +43,6 @@ def map_rows(df: DataFrame, schema: str | T.StructType, work: Callable[..., Iter
                 if rows:
                     columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            trim()
 
     return df.mapInArrow(run, out)

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import map_rows
+from .arrow import map_rows, trim
 from .common import written
 
-_MEMO_LIMIT = 250_000
+_MEMO_LIMIT = 60_000
 _memo: dict[bytes, int] = {}
 BROADCAST_ROWS = 300_000
 
@@ -124,6 +124,7 @@ def sorted_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[t
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found), out)], schema=out)
                 found.clear()
+            trim()
         flush()
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found), out)], schema=out)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .arrow import trim
 from .tokenizer import load, public_path
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -180,6 +181,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: PackSettings
                 if len(out) >= 8192:
                     yield table(out)
                     out = []
+            trim()
         out += map(row, packer.finish())
         if out:
             yield table(out)

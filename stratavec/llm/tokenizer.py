@@ -34,16 +34,20 @@ def byte_letters() -> dict[int, str]:
 
 class ByteTokenizer:
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.fast, self.added = self._fast(json.load(f))
+
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, made when a text first needs it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            raw = f.read()
-        self.version = file_version(path)
-        self.library = Tokenizer.from_str(raw)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.fast, self.added = self._fast(json.loads(raw))
+        found = Tokenizer.from_file(self.path)
+        found.no_padding()
+        found.no_truncation()
+        return found
 
     @staticmethod
     def _fast(spec: dict):

@@ -15,14 +15,15 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_rows, trim
 from .common import fold, sample_below, table
 
 _WORD = re.compile(r"[^\W_]+")
-_MEMO_LIMIT = 400_000
+_MEMO_LIMIT = 60_000
 _memo: dict[str, int] = {}
 
 
@@ -114,16 +115,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = Ft
 
     features = map_rows(known, "learner int, id long, label int, at binary", extract)
 
-    def learn(pdf):
-        import pandas as pd
-
-        pdf = pdf.assign(order=[zlib.crc32(str(i).encode()) for i in pdf.id]).sort_values(["order", "id"])
-        examples = [(np.frombuffer(at, dtype=np.int32), int(y)) for at, y in zip(pdf["at"], pdf["label"])]
-        at, w, b = train_ftrl(examples, settings)
-        return pd.DataFrame({"at": np.append(at, -1).astype("int64"), "weight": np.append(w, b)})
+    def learn(rows: pa.Table) -> pa.Table:
+        ids, labels = rows["id"].to_pylist(), rows["label"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
+        # Features stay in Arrow's buffers: NumPy looks at them without a copy.
+        held = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in rows["at"]]
+        at, w, b = train_ftrl([(held[i], labels[i]) for i in order], settings)
+        return pa.table({"at": pa.array(np.append(at, -1), pa.int64()), "weight": pa.array(np.append(w, b), pa.float64())})
 
     # One group of at most about sample_rows rows: FTRL is sequential.
-    model = features.groupBy("learner").applyInPandas(learn, "at long, weight double")
+    model = features.groupBy("learner").applyInArrow(learn, "at long, weight double")
     return sorted((r["at"], r["weight"]) for r in model.collect())
 
 
@@ -168,8 +169,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = Ftrl
     at_text = docs.columns.index("text")
 
     def run(batches):
-        import pyarrow as pa
-
         if 0 not in tables:
             tables[0] = np.zeros(1 << bits)
             for a, w in shared.value:
@@ -184,6 +183,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = Ftrl
                 hit = g[weights[g] != 0]
                 keep.append((float(weights[np.unique(hit)].sum()) if len(hit) else 0.0) + b < edge)
             yield batch.filter(pa.array(keep, pa.bool_()))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 
