@@ -62,6 +62,27 @@ def packed(df: DataFrame, id_col: str, vec_col: str, block: int = BLOCK) -> Data
     return df.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, PACKED)
 
 
+def packed_by(df: DataFrame, id_col: str, vec_col: str, key: str, block: int = BLOCK) -> DataFrame:
+    """packed() with column ``key`` (an int): a block holds rows of one key; nothing is shuffled."""
+    schema = f"{key} int, {PACKED}"
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids, x = np.asarray(batch.column(0)), np.asarray(batch.column(1), dtype=np.int64), matrix(batch.column(2))
+            for k in np.unique(keys).tolist():
+                mine = np.flatnonzero(keys == k)
+                for at in range(0, len(mine), block):
+                    part = mine[at:at + block]
+                    part = part[np.argsort(ids[part], kind="stable")]
+                    columns = ([k], [ids[part].tobytes()], [x[part].tobytes()], [x.shape[1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+
+    return df.select(F.col(key).cast("int"), F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, schema)
+
+
 def unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, dtype=np.int64)
     return keys, np.frombuffer(vectors).reshape(len(keys), dim)
@@ -74,16 +95,19 @@ def gathered(df: DataFrame, id_col: str, vec_col: str, block: int = BLOCK) -> Da
     return packed(rows.repartition(max(1, -(-n // (4 * block)))), id_col, vec_col, block)
 
 
-def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[..., Iterator[tuple]], q_extra: str | None = None) -> DataFrame:
-    """Every block of ``queries`` against every block of ``data`` (both packed): ``work(q_ids, q, ids,
-    x)`` yields output rows, which must stay few per query and block.
+def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[..., Iterator[tuple]], key: str | None = None) -> DataFrame:
+    """Every block of ``queries`` against every block of ``data`` (both packed), or against those of
+    the same ``key``: ``work(q_ids, q, ids, x)`` yields output rows.
 
     A query side of a counted, small number of blocks is broadcast and the data stays where it is;
     a larger one meets the data by lane, an equi-join, each block of the data in one lane only.
     """
     out = to_arrow_schema(T.StructType.fromDDL(schema))
     asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    if queries.limit(SMALL_BLOCKS + 1).count() <= SMALL_BLOCKS:
+    small = queries.limit(SMALL_BLOCKS + 1).count() <= SMALL_BLOCKS
+    if key:
+        pairs = data.join(F.broadcast(asked) if small else asked, F.col(key) == F.col(f"q_{key}"))
+    elif small:
         pairs = data.crossJoin(F.broadcast(asked))
     else:
         lane = F.pmod(F.xxhash64("ids"), F.lit(LANES)).cast("int")
@@ -99,8 +123,7 @@ def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[...,
                 x = unpacked(row["ids"], row["vectors"], row["dim"])
                 if q[1].shape[1] != x[1].shape[1]:
                     raise ValueError("queries and vectors differ in dimension")
-                extra = (row[f"q_{q_extra}"],) if q_extra else ()
-                found = list(zip(*work(*q, *x, *extra)))
+                found = list(zip(*work(*q, *x)))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(found, out)], schema=out)
 

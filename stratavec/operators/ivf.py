@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import map_matrix
-from ..functions.kernels import exact_distances
+from ..functions.blocks import cells, map_matrix, packed_by
+from ..functions.kernels import exact_distances, nearest
+from ..functions.vec import l2
 from ..plans.params import IvfParams, KMeansParams
 from ..plans.sizes import broadcast_if_small
 from .base import Index
 from .kmeans import KMeans, assigned, sampled, spark_centres
+from .search import KNN, top_n
 from .silhouette import Silhouette
 
 
@@ -109,3 +111,32 @@ class IVFFlat(Index):
     def candidates(self, queries: DataFrame) -> DataFrame:
         probes = broadcast_if_small(self.coarse.probes(queries).select("qid", "cid"))
         return self.rows.join(probes, "cid").select("qid", "id", "vec")
+
+    def _cells(self, queries: DataFrame, work) -> DataFrame:
+        """Blocks of lists against blocks of the queries that read them. A row is in one list, so no
+        pair repeats."""
+        asked = packed_by(self.coarse.probes(queries), "qid", "qvec", "cid")
+        return cells(packed_by(self.rows, "id", "vec", "cid"), asked, KNN, work, "cid")
+
+    def measured(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
+        if self.distance is not l2:
+            return super().measured(queries, exclude_self)
+
+        def work(q_ids, q, ids, x):
+            for i, dist in zip(q_ids.tolist(), exact_distances(q, x).tolist()):
+                for j, d in zip(ids.tolist(), dist):
+                    if not exclude_self or i != j:
+                        yield i, j, d
+
+        return self._cells(queries, work)
+
+    def knn_query(self, queries: DataFrame, n: int, exclude_self: bool = False) -> DataFrame:
+        """(qid, rank, id, dist); a list hands on n rows a query and block."""
+        if self.distance is not l2:
+            return super().knn_query(queries, n, exclude_self)
+
+        def work(q_ids, q, ids, x):
+            for i, places, dist in nearest(q, ids, x, n, q_ids if exclude_self else None):
+                yield from zip([int(q_ids[i])] * len(places), ids[places].tolist(), dist.tolist())
+
+        return top_n(self._cells(queries, work), n)
