@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from stratavec.llm.common import table, written
 from stratavec.llm.exact_dedup import drop_exact_duplicates
-from stratavec.llm.near_dedup import drop_near_duplicates
+from stratavec.llm.near_dedup import NearSettings, drop_near_duplicates
 from stratavec.llm.packing import pack_with_public
 from stratavec.llm.pii import redact_documents
 from stratavec.llm.toxicity import drop_toxic
 
+#: Near copies are texts of similarity 0.8 or more; the 0.85 of NearSettings belongs to op4_near_dedup.
+#: With 12 of 32 coordinates a link of similarity 0.8 is missed with a probability below 3e-8.
+NEAR = NearSettings(percent=80, matches=12)
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learnt from the labelled ones, does not reject."""
@@ -31,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, NEAR)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def test_stages_with_nulls_and_no_rows(spark, small, odd):
             assert out.columns == docs.columns
 
 
+def test_near_copies_from_similarity_0_8_go(spark, small, documents):
+    words = [f"w{i}" for i in range(100)]  # 96 shingles; j other words at the end leave (96 - j) / (96 + j)
+    rows = [(j, " ".join(words[:100 - j] + [f"x{j}y{i}" for i in range(j)])) for j in (0, 10)]
+    rows += [(20 + j, " ".join(f"a{w}" for w in words[:100 - j] + [f"x{j}y{i}" for i in range(j)])) for j in (0, 11)]
+    kept = corpus_pipeline.near_dedup(spark, documents(rows).drop("body"), small)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 20, 31]  # 0.811 goes, 0.794 stays
+
+
 def test_registered():
     assert sorted(q.queries()) == sorted(["op1_pii", "op2_toxicity", "op3_exact_dedup", "op4_near_dedup", "op5_license_scan", "op6_language_id", "op7_token_count", "op8_top_k_search", "op9_bpe_round_trip", "op10_packing"])
 
