@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -247,28 +247,28 @@ def _candidate_postings(classes: DataFrame, s: NearSettings) -> DataFrame:
     return prefix.select(F.col("p.coord").alias("coord"), F.col("p.value").alias("value"), "id").join(classes.select("id", "signature"), "id")
 
 
-def near_groups(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _place() -> Column:
+    """A row's place in its group: rows with an id come first, by id, then by the text's digest."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("sha").alias("sha"))
 
-    component_id is the smallest id reachable over links, the row's own included; kept marks rows
-    whose id it is. Texts without words (null ones too) have no shingles and are linked with
-    nothing. Null ids are passed over by the minimum and are never kept beside a row with an id;
-    rows that repeat an id are kept or not together. Other columns are not read.
-    """
-    s = settings
+
+def _grouped(docs: DataFrame, s: NearSettings, id_col: str, text_col: str, sha: Column) -> DataFrame:
+    """One row per input row: doc_id, sha, n_shingles, first (the least ``_place`` among the rows of
+    its group, null for a text without words)."""
     factors = multipliers(s.coords)
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), sha.cast("binary").alias("sha"))
 
-    def sign(doc_ids, texts):
-        for doc_id, text in zip(doc_ids, texts):
+    def sign(doc_ids, texts, shas):
+        for doc_id, text, own in zip(doc_ids, texts, shas):
             found = shingles(text, s.words)
             if len(found):
-                yield doc_id, len(found), set_digest(found), signature(found, factors).tobytes()
+                yield doc_id, own, len(found), set_digest(found), signature(found, factors).tobytes()
             else:
-                yield doc_id, 0, None, None
+                yield doc_id, own, 0, None, None
 
-    signed = written(map_rows(body, "doc_id long, n_shingles long, id binary, signature binary", sign), "near-signed")
-    classes = written(signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.min("signature").alias("signature")), "near-classes")
+    signed = written(map_rows(body, "doc_id long, sha binary, n_shingles long, id binary, signature binary", sign), "near-signed")
+    least = signed.where("id is not null").groupBy("id").agg(F.min(_place()).alias("first"), F.min("signature").alias("signature"))
+    classes = written(least.select("id", "first", F.col("first.doc_id").alias("least"), "signature"), "near-classes")
 
     postings = written(_candidate_postings(classes, s), "near-postings")
     lists = in_block_pairs(postings, ["coord", "value"], "id", "signature", s.block, s.block_bytes)
@@ -282,7 +282,7 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings(), id_col
     ids = wanted.select(F.col("least").alias("__least")).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = body.join(ids, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
+    texts = body.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
 
     def full(texts):
         for text in texts:
@@ -297,23 +297,52 @@ def near_groups(docs: DataFrame, settings: NearSettings = NearSettings(), id_col
                           lambda ids, sets: set_forest(ids, sets, s.percent))
     linked = written(components(links, "near-links"), "near-linked")
 
-    least = linked.join(classes.select("id", "least"), "id")
-    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = classes.select("id", "least").join(linked, "id", "left").join(by_root, "root", "left")
-    of_class = of_class.select("id", F.coalesce("component_id", "least").alias("component_id"))
-    result = signed.select("doc_id", "n_shingles", "id").join(of_class, "id", "left")
-    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    least = linked.join(classes.select("id", "first"), "id")
+    by_root = least.groupBy("root").agg(F.min("first").alias("of_root"))
+    of_class = classes.select("id", "first").join(linked, "id", "left").join(by_root, "root", "left")
+    of_class = of_class.select("id", F.coalesce("of_root", "first").alias("first"))
+    return signed.select("doc_id", "sha", "n_shingles", "id").join(of_class, "id", "left").drop("id")
+
+
+def near_groups(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    component_id is the smallest id reachable over links, the row's own included; kept marks rows
+    whose id it is. Texts without words (null ones too) have no shingles and are linked with
+    nothing. Null ids are passed over by the minimum and are never kept beside a row with an id;
+    rows that repeat an id are kept or not together. Other columns are not read.
+    """
+    result = _grouped(docs, settings, id_col, text_col, F.lit(None))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of linked ones: the one with the smallest id. Rows
-    that share an id stay or go together."""
-    gone = near_groups(docs, settings, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(gone, "near-gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` with one row of each group of linked ones: the one with the smallest id, null ids
+    last, then with the smallest text digest. Texts without words all stay.
+
+    Rows are told apart by id and text digest, so no row goes for another one's id. Where the row
+    that stays repeats both, one of its copies is left.
+    """
+    own_sha = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    rows = _grouped(docs, settings, id_col, text_col, own_sha).where("first is not null")
+    rows = rows.select("doc_id", "sha", _place().eqNullSafe(F.col("first")).alias("kept"))
+    found = rows.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("not kept or n > 1")
+    found = written(found.select(F.col("doc_id").alias("__doc"), F.col("sha").alias("__sha"), "kept"), "near-gone")
+    marked = docs.withColumn("__own_sha", own_sha)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own_sha") == F.col("__sha"))
+
+    def listed(kept: bool) -> tuple[DataFrame, int]:
+        some = found.where(F.col("kept") == kept).drop("kept")
+        n = some.count()
+        return (F.broadcast(some) if n <= BROADCAST_ROWS else some), n
+
+    left = marked.join(listed(False)[0], same, "left_anti")
+    repeated, n = listed(True)
+    if n:
+        once = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__own_sha"])
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.drop("__own_sha")
 
 
 NEAR_SQL = r"""

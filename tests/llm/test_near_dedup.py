@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -99,6 +100,26 @@ def test_one_document_of_each_group_stays(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, _, k in expected(rows) if k)
 
 
+def test_rows_with_null_and_repeated_ids_go_one_by_one(documents):
+    def text(name, last=""):
+        return " ".join(f"{name}{i}" for i in range(60)) + last
+
+    rows = [
+        (1, text("a")), (None, text("a", " x")), (None, text("b")), (None, ""), (None, None), (None, " \n"),  # a copy without an id takes no other row along
+        (2, text("c")), (3, text("c", " x")), (3, text("d")),  # nor does a copy under a repeated id
+        (4, text("e")), (4, text("e", " x")),  # copies under one id
+        (None, text("f")), (None, text("f", " x")),  # copies without ids
+        (5, text("g")), (5, text("g")), (6, text("g", " x")), (None, text("h")), (None, text("h")),  # rows that repeat id and text
+        (7, ""), (7, ""),
+    ]
+    kept = [(r["doc_id"], r["text"]) for r in N.drop_near_duplicates(documents(rows)).collect()]
+    least = lambda *texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert sorted(kept, key=str) == sorted([
+        (1, text("a")), (None, text("b")), (None, ""), (None, None), (None, " \n"), (2, text("c")), (3, text("d")),
+        (4, least(text("e"), text("e", " x"))), (None, least(text("f"), text("f", " x"))), (5, text("g")), (None, text("h")), (7, ""), (7, ""),
+    ], key=str)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(60)] + [(b"900", f"{i}".encode()) for i in range(901, 940)] + [(b"zz", b"zz")]
     got = {bytes(r["id"]): bytes(r["root"]) for r in N.components(spark.createDataFrame(edges, "a binary, b binary"), "t").collect()}
