@@ -38,6 +38,16 @@ TEMPLATES = {
     "proprietary": "copyright all rights reserved proprietary and confidential",
 }
 
+#: Templates for notices as they stand in files, with the words that the usual headers hold.
+NOTICES = TEMPLATES | {
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "gpl-3": "under the gnu general public license version 3",
+    "gpl-2": "under the gnu general public license version 2",
+    "lgpl": "under the gnu lesser general public license",
+}
+#: Lines over which such a notice may be wrapped.
+NOTICE_LINES = 4
+
 THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
@@ -77,14 +87,15 @@ def corpus_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                  templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
+                  templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, run: int = 1) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     base_labels come from consecutive phrases anywhere in the text (n_base counts all places,
     first_word and last_word are their smallest and largest starts, null without any); labels adds
     those of the similarity join. score is 1 where a phrase stands, else the largest containment
     of a matching template, else 0. Null texts count as empty; every input row gives one row; other
-    columns are not read. Lines of any length are whole blocks.
+    columns are not read. Lines of any length are whole blocks; with ``run`` above 1 a block is each
+    ``run`` consecutive lines that are not empty, so that a wrapped notice lies whole in one of them.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
@@ -124,7 +135,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = F.array().cast("array<struct<label:string,score:double>>")
     if entries:
         any_prefix = " (?:" + "|".join(sorted(prefix_words)) + ") "
-        lines = F.filter(F.split(F.col("text"), r"[\n\r]+"), lambda line: word_text(line).rlike(any_prefix))
+        lines = F.split(F.col("text"), r"[\n\r]+")
+        if run > 1:
+            def runs(of: Column) -> Column:
+                starts = F.sequence(F.lit(1), F.greatest(F.size(of) - run + 1, F.lit(1)))
+                return F.transform(starts, lambda i: F.concat_ws("\n", F.slice(of, i, F.lit(run))))
+
+            lines = F.flatten(F.transform(F.array(lines), runs))  # the text is split once
+        lines = F.filter(lines, lambda line: word_text(line).rlike(any_prefix))
         blocks = F.transform(lines, lambda line: F.array_intersect(ranked, F.split(word_text(line), " ")))
         hits = F.when(F.col("words").rlike(any_prefix), F.flatten(F.transform(blocks, matches))).otherwise(hits)
     staged = words.select("doc_id", "words", hits.alias("hits"))

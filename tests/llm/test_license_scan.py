@@ -1,6 +1,6 @@
 import re
 
-from stratavec.llm.license_scan import TEMPLATES, THRESHOLD, scan_licenses
+from stratavec.llm.license_scan import NOTICE_LINES, NOTICES, TEMPLATES, THRESHOLD, scan_licenses
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,6 +61,18 @@ def test_random_lines(documents):
     check(documents(rows), rows)
 
 
+def test_wrapped_notices(documents):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+    rows = [
+        ("This is licensed\nunder the GNU General Public\nLicense, version 3", "gpl-3"), ("a\n\nb\n" * 50 + gpl.format(3) + "c\n" * 50, "gpl-3"),
+        (gpl.format(2).replace("\n", "\r\n"), "gpl-2"), ("Copyright 2020\n\n" + mit, "mit"), (mit.replace("\n", " "), "mit"),
+        ("under the GNU General Public License\n" + "other\n" * NOTICE_LINES + "version 3", ""), ("", ""), (None, ""),
+    ]
+    got = scan_licenses(documents([(i, t) for i, (t, _) in enumerate(rows)]), templates=NOTICES, run=NOTICE_LINES).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {i: label for i, (_, label) in enumerate(rows)}
+
+
 def test_odd_rows(documents, odd):
     from conftest_rows import ODD
 
