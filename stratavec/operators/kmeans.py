@@ -137,6 +137,20 @@ class KMeans:
             centres.append(x[min(at, len(x) - 1)])
         return np.array(centres)
 
+    def _farthest(self, ordered: DataFrame, centres: np.ndarray, rows: int) -> np.ndarray:
+        """The vectors of the ``rows`` distinct rows farthest from their centres, ties to the smaller
+        id; each batch hands on so many, and the driver gets them only."""
+        shared = ordered.sparkSession.sparkContext.broadcast(centres)
+
+        def work(columns, x):
+            gap = assign(x, shared.value)[1]
+            ids = np.asarray(columns["id"], dtype=np.int64)
+            at = np.lexsort((ids, -gap))[:rows]
+            return {"id": ids[at], "gap": gap[at], "v": x[at].astype(np.float64).tolist()}
+
+        found = map_matrix(ordered, "vec", "id long, gap double, v array<double>", work)
+        return np.array([r["v"] for r in found.orderBy(F.desc("gap"), "id").limit(rows).collect()])
+
     def _fit_distributed(self, vectors: DataFrame, n: int) -> int:
         p = self.params
         ordered = vectors.select(F.col("id").cast("long").alias("id"), "vec").repartitionByRange("id").sortWithinPartitions("id").persist()
@@ -149,33 +163,29 @@ class KMeans:
 
             def step(columns, x):
                 now, old = shared.value
-                label, gap = assign(x, now)
+                label, _ = assign(x, now)
                 moved = label != assign(x, old)[0] if old is not None else np.ones(len(x), dtype=bool)
-                far = int(gap.argmax())
-                out = {"cid": [], "n": [], "sums": [], "moved": [], "gap": [], "far": []}
+                out = {"cid": [], "n": [], "sums": [], "moved": []}
                 for c in np.unique(label).tolist():
                     mine = label == c
                     out["cid"].append(c)
                     out["n"].append(int(mine.sum()))
                     out["sums"].append(x[mine].sum(axis=0).tolist())
                     out["moved"].append(int(moved[mine].sum()))
-                    out["gap"].append(float(gap[far]))
-                    out["far"].append(x[far].tolist())
                 return out
 
-            parts = map_matrix(ordered, "vec", "cid int, n long, sums array<double>, moved long, gap double, far array<double>", step)
-            totals = parts.groupBy("cid").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"), F.max(F.struct("gap", "far")).alias("far"),
+            parts = map_matrix(ordered, "vec", "cid int, n long, sums array<double>, moved long", step)
+            totals = parts.groupBy("cid").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"),
                                               *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(centres.shape[1])]).collect()  # k rows
             new = centres.copy()
             filled = set()
             for r in totals:
                 new[r["cid"]] = np.array([r[f"s{i}"] for i in range(centres.shape[1])]) / r["n"]
                 filled.add(r["cid"])
-            if p.empty == "farthest":
-                spare = sorted((r["far"] for r in totals), key=lambda f: -f["gap"])
-                for c in (c for c in range(p.k) if c not in filled):
-                    if spare:
-                        new[c] = spare.pop(0)["far"]
+            bare = [c for c in range(p.k) if c not in filled]
+            if p.empty == "farthest" and bare:
+                for c, row in zip(bare, self._farthest(ordered, centres, len(bare))):
+                    new[c] = row
             unchanged = last is not None and sum(r["moved"] for r in totals) == 0
             shift = float(np.sqrt(((new - centres) ** 2).sum(axis=1)).sum())
             last, centres = centres, new

@@ -146,6 +146,17 @@ def test_empty_clusters(spark):
         assert means.centroids().shape == (4, 2)
 
 
+def test_empty_clusters_take_distinct_rows_both_ways(spark):
+    points = [[0.0, 0.0]] * 60 + [[float(3 * i * i + 5), float(i)] for i in range(6)]
+    copies = spark.createDataFrame(list(enumerate(points)), "id long, vec array<float>").persist()
+    for rounds in (1, 10):
+        p = KMeansParams(5, rounds, 0.0, "random", 1)
+        near, far = KMeans(p), KMeans(p, local_rows=0)
+        assert near.fit(copies) == far.fit(copies)
+        assert np.allclose(near.centroids(), far.centroids())
+        assert len(np.unique(far.centroids(), axis=0)) == 5
+
+
 def test_silhouette_matches_definition(spark, data):
     labels = np.array([i // 40 for i in range(119)] + [3])
     frame = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "id long, cid int")
