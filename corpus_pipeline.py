@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of documents. ``run`` writes each stage's result as Parquet to the shared folder
 and reads it again as the next one's input, so a lost executor never reaches further back than a
-stage. No stage keeps rows out for any reason but its own decision.
+stage; a stage's input is deleted when its result is written. No stage keeps rows out for any reason but its own decision.
 """
 
 from __future__ import annotations
@@ -11,18 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import table, written
+from stratavec.llm.common import discard, table, written
 from stratavec.llm.exact_dedup import drop_exact_duplicates
-from stratavec.llm.near_dedup import NearSettings, drop_near_duplicates
+from stratavec.llm.near_dedup import drop_near_duplicates
 from stratavec.llm.packing import pack_with_public
 from stratavec.llm.pii import redact_documents
 from stratavec.llm.toxicity import drop_toxic
 
-#: Near copies are texts of similarity 0.8 or more; the 0.85 of NearSettings belongs to op4_near_dedup.
-#: With 12 of 32 coordinates a link of similarity 0.8 is missed with a probability below 3e-8.
-NEAR = NearSettings(percent=80, matches=12)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learnt from the labelled ones, does not reject."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -34,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return drop_near_duplicates(docs, NEAR)
+    """One document of each group of near duplicates: texts of similarity 0.8 or more."""
+    return drop_near_duplicates(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over ``documents`` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

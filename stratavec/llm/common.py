@@ -40,14 +40,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage at files
-    that outlive any executor."""
+    that outlive any executor. ``discard`` deletes the table."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        remove_path(table.sparkSession, table.stored_at)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

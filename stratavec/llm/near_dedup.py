@@ -1,9 +1,9 @@
 """Near duplicates by an inverted join on MinHash signature coordinates, confirmed on full sets.
 
 1. Every text becomes its set of five-word shingles (64-bit hashes); equal sets are one class.
-2. A class has a signature of ``coords`` minima. Two sets of similarity 0.85 agree in 27 of 32
-   coordinates on average; a pair is a candidate when at least ``matches`` (14) agree, which loses a
-   link with a probability below 2e-8.
+2. A class has a signature of ``coords`` minima. Two sets of similarity 0.8 agree in 26 of 32
+   coordinates on average; a pair is a candidate when at least ``matches`` (12) agree, which loses a
+   link with a probability below 3e-8.
 3. Postings: a class is listed under its (coordinate, value) pairs. Values that only one class has
    are skipped; a class with fewer than ``matches`` shared values can have no partner; the others
    are listed under their ``coords - matches + 1`` rarest values only, counting the skipped ones,
@@ -17,7 +17,11 @@
 
 Lists and components of more than ``block`` members (or ``block_bytes``) are cut into blocks, and a task takes two
 blocks, so no task holds an unbounded group: any pair meets in one task, and a union of spanning
-forests connects what the union of the graphs connects.
+forests connects what the union of the graphs connects. Joins on keys that can be hot (values, lists, hubs of
+components) broadcast the few hot ones, and joins with whole texts go through a sieve (joins.py).
+
+Sets are compared as 64-bit hashes of their shingles: two shingles of one text with the same hash
+count once, which for a text of a million shingles has a probability of 3e-8.
 """
 
 from __future__ import annotations
@@ -34,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrow import map_rows, trim
-from .common import written
+from .common import discard, written
+from .joins import hot_join, sieve, sieved
 
 _MEMO_LIMIT = 60_000
 _memo: dict[bytes, int] = {}
-BROADCAST_ROWS = 300_000
+#: Hot values of signatures that may be broadcast: each is 12 bytes.
+HOT_VALUES = 8192
 
 
 @dataclass(frozen=True)
@@ -46,9 +52,9 @@ class NearSettings:
     """Links: 100 * intersection >= percent * union of the shingle sets."""
 
     words: int = 5
-    percent: int = 85
+    percent: int = 80
     coords: int = 32
-    matches: int = 14
+    matches: int = 12
     block: int = 2048
     block_bytes: int = 24_000_000
 
@@ -195,13 +201,13 @@ def set_forest(ids: list[bytes], sets: list[bytes], percent: int) -> Iterator[tu
 
 
 def in_block_pairs(members: DataFrame, keys: list[str], member: str, payload: str, block: int, block_bytes: int) -> DataFrame:
-    """``members`` with columns i and j: rows of a group of at most ``block`` members and
-    ``block_bytes`` of payload get (0, 0); larger groups are cut into blocks by a hash, and each row
-    is listed with every other block. Groups of one member are left out."""
+    """``members`` (a written table) with columns i and j: rows of a group of at most ``block``
+    members and ``block_bytes`` of payload get (0, 0); larger groups are cut into blocks by a hash,
+    and each row is listed with every other block. Groups of one member are left out."""
     sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.octet_length(payload)).alias("__bytes")).where("__n > 1")
     parts = F.greatest(F.ceil(F.col("__n") / block), F.ceil(F.col("__bytes") / block_bytes)).cast("int")
     own = F.pmod(F.xxhash64(member), F.col("__parts")).cast("int")
-    cut = members.join(sizes, keys).withColumn("__parts", parts).withColumn("__own", own)
+    cut = hot_join(members, sizes, keys, "__n", members.count()).withColumn("__parts", parts).withColumn("__own", own)
     return (cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
             .withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other"))
             .drop("__n", "__bytes", "__parts", "__own", "__other"))
@@ -213,8 +219,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root) for every id of ``edges`` (a, b): root is the smallest id it is connected with.
 
     Alternating large-star and small-star steps on the edge table, each a map-side combined minimum
-    and a join; neither makes more edges than it gets, and no list of neighbours is built. Each round
-    is written to the shared folder. It ends when every id has one edge, to an id that has none.
+    and a join in which hubs are broadcast; neither makes more edges than it gets, and no list of
+    neighbours is built. Each step is written to the shared folder. It ends when every id has one
+    edge, to an id that has none.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
     while True:
@@ -223,12 +230,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         loose = ends.groupBy("a").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("root").alias("root")).where("least != most or (least is not null and root)")
         if loose.isEmpty():
             break
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        floor = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(floor, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        now = written(small.where("a != b"), name)
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+        large = written(hot_join(both, low, ["a"], "n", total).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")), name)
+        floor = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = hot_join(large, floor, ["a"], "n", total).select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
+        following = written(small.where("a != b"), name)
+        discard(now, large)
+        now = following
     every = now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")))
     return every.groupBy("id").agg(F.min("root").alias("root"))
 
@@ -240,7 +250,8 @@ def _candidate_postings(classes: DataFrame, s: NearSettings) -> DataFrame:
     split = F.transform(F.sequence(F.lit(0), F.lit(s.coords - 1)), lambda j: F.substring(F.col("signature"), j * 4 + 1, F.lit(4)))
     listed = classes.select("id", F.posexplode(split).alias("coord", "value"))
     shared = listed.groupBy("coord", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = listed.join(shared, ["coord", "value"]).groupBy("id").agg(F.collect_list(F.struct("n", "coord", "value")).alias("held"))
+    held = hot_join(listed, shared, ["coord", "value"], "n", classes.count() * s.coords, hot_keys=HOT_VALUES)
+    own = held.groupBy("id").agg(F.collect_list(F.struct("n", "coord", "value")).alias("held"))
     # held has at most ``coords`` entries; the values that only this class has come before them all.
     kept = F.size("held") - s.matches + 1
     prefix = own.where(kept > 0).select("id", F.explode(F.slice(F.array_sort("held"), F.lit(1), kept)).alias("p"))
@@ -275,14 +286,12 @@ def _grouped(docs: DataFrame, s: NearSettings, id_col: str, text_col: str, sha:
     rough = sorted_groups(lists.select("coord", "value", "i", "j", "id", "signature"), ["coord", "value", "i", "j"], "a binary, b binary",
                           lambda ids, sigs: signature_forest(ids, sigs, s.matches))
     groups = written(components(rough, "near-rough"), "near-groups")
+    discard(postings)
 
-    # Full sets are made again for the candidates only; their texts are found by id, and rows that
-    # share an id with a candidate but not its set fall out when the sets are joined.
+    # Full sets are made again for the candidates only; their texts pass a sieve of the ids, and what
+    # passes but is no candidate falls out when the sets are joined.
     wanted = groups.join(classes.select("id", "least"), "id")
-    ids = wanted.select(F.col("least").alias("__least")).distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = body.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
+    texts = sieved(body.select("doc_id", "text"), sieve(wanted, "least"), F.col("doc_id")).where("__passes")
 
     def full(texts):
         for text in texts:
@@ -296,6 +305,7 @@ def _grouped(docs: DataFrame, s: NearSettings, id_col: str, text_col: str, sha:
     links = sorted_groups(pairs.select("root", "i", "j", "id", "shingles"), ["root", "i", "j"], "a binary, b binary",
                           lambda ids, sets: set_forest(ids, sets, s.percent))
     linked = written(components(links, "near-links"), "near-linked")
+    discard(groups, members)
 
     least = linked.join(classes.select("id", "first"), "id")
     by_root = least.groupBy("root").agg(F.min("first").alias("of_root"))
@@ -322,27 +332,27 @@ def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(
     last, then with the smallest text digest. Texts without words all stay.
 
     Rows are told apart by id and text digest, so no row goes for another one's id. Where the row
-    that stays repeats both, one of its copies is left.
+    that stays repeats both, one of its copies is left. Rows that certainly are not listed as
+    copies stay where they are; only those that pass the sieve are joined.
     """
     own_sha = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    keys = ["__null", "__id", "__sha"]
+
+    def keyed(id_of: Column, sha: Column) -> list[Column]:
+        doc = id_of.cast("long")
+        return [doc.isNull().alias("__null"), F.coalesce(doc, F.lit(0).cast("long")).alias("__id"), sha.alias("__sha")]
+
     rows = _grouped(docs, settings, id_col, text_col, own_sha).where("first is not null")
-    rows = rows.select("doc_id", "sha", _place().eqNullSafe(F.col("first")).alias("kept"))
-    found = rows.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("not kept or n > 1")
-    found = written(found.select(F.col("doc_id").alias("__doc"), F.col("sha").alias("__sha"), "kept"), "near-gone")
-    marked = docs.withColumn("__own_sha", own_sha)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own_sha") == F.col("__sha"))
-
-    def listed(kept: bool) -> tuple[DataFrame, int]:
-        some = found.where(F.col("kept") == kept).drop("kept")
-        n = some.count()
-        return (F.broadcast(some) if n <= BROADCAST_ROWS else some), n
-
-    left = marked.join(listed(False)[0], same, "left_anti")
-    repeated, n = listed(True)
-    if n:
-        once = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__own_sha"])
-        left = left.join(repeated, same, "left_anti").unionByName(once)
-    return left.drop("__own_sha")
+    rows = rows.select(*keyed(F.col("doc_id"), F.col("sha")), _place().eqNullSafe(F.col("first")).alias("kept"))
+    found = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("not kept or n > 1"), "near-gone")
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), *keyed(F.col(id_col), own_sha))
+    marked = sieved(whole, written(sieve(found, *keys), "near-sieve"), *[F.col(k) for k in keys])
+    met = hot_join(marked.where("__passes"), found, keys, "n", total, "left")
+    once = met.where("kept").dropDuplicates(keys)
+    stay = marked.where(~F.col("__passes")).select("whole").unionByName(met.where("n is null").select("whole")).unionByName(once.select("whole"))
+    return stay.select("whole.*")
 
 
 NEAR_SQL = r"""

@@ -11,7 +11,7 @@ from .common import table
 from .exact_dedup import EXACT_SQL, exact_groups
 from .language_id import language_id
 from .license_scan import license_sql, scan_licenses
-from .near_dedup import NEAR_SQL, near_groups
+from .near_dedup import NEAR_SQL, NearSettings, near_groups
 from .packing import pack_with_public
 from .pii import find_pii
 from .token_count import count_tokens_afresh
@@ -32,7 +32,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), NearSettings(percent=85, matches=14))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,10 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-def run(df, settings=N.NearSettings()):
+CUT = N.NearSettings(percent=85, matches=14)
+
+
+def run(df, settings=CUT):
     return sorted(map(tuple, N.near_groups(df, settings).collect()), key=str)
 
 
@@ -79,8 +82,8 @@ def test_small_blocks_lose_nothing(documents):
             w[rng.randrange(200)] = f"v{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
     want = expected(rows)
-    assert run(documents(rows), N.NearSettings(block=7)) == want
-    assert run(documents(rows), N.NearSettings(block_bytes=20_000)) == want
+    assert run(documents(rows), N.NearSettings(percent=85, matches=14, block=7)) == want
+    assert run(documents(rows), N.NearSettings(percent=85, matches=14, block_bytes=20_000)) == want
 
 
 def test_odd_rows(documents, odd):
@@ -95,7 +98,7 @@ def test_odd_rows(documents, odd):
 def test_one_document_of_each_group_stays(documents):
     rows = corpus(5)
     df = documents(rows)
-    kept = N.drop_near_duplicates(df)
+    kept = N.drop_near_duplicates(df, CUT)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, _, k in expected(rows) if k)
 
