@@ -1,17 +1,22 @@
 r"""Personal data by gradient boosting over candidate spans, in built-in expressions only.
 
-Generators with high recall propose spans, which may overlap; each candidate becomes a small
-vector of binned features of its format and context; boosted trees score it; a threshold per kind,
-calibrated on a held-out fold, selects redactions. Base spans (the plain patterns with their
-checks) always stay; selected candidates that overlap neither a base span nor a better-scored one
-join them.
-
-Training needs no labels from outside: each generator has a strict check (card checksum, octet
-range, area codes, ...) that the features do not contain, and the trees learn how likely a candidate
-passes it given how it looks and where it stands. All features are binned, so the training set is a
-contingency table (a count of passes and failures for each distinct vector) that one map-side
-combined aggregation over every candidate yields; its size is bounded by the bins, not by the data.
-Boosting that table takes moments on the driver, and the trees become CASE expressions.
+Generators with high recall propose spans, which may overlap. Base spans (the plain patterns with
+their checks) always stay, and candidates that overlap one are none. Every other candidate becomes a
+small vector of binned features of its format and context; boosted trees score it; a threshold per
+generator, calibrated on folds that the scoring trees have not seen, selects redactions among those
+that pass their generator's strict check, and the best-scored of overlapping ones stay.
+
+Training needs no labels from outside: each generator has a strict check (card checksum, area codes,
+...) that the features do not contain, and the trees learn how likely a candidate passes it given
+how it looks and where it stands. A look-alike passes by chance with a known probability, so the
+failures in a range of scores tell how many of its passes are look-alikes: a threshold is the
+smallest score above which they are at most one in ten. ``prior`` genuine passes are assumed
+beforehand, so where candidates are few, the strict check alone decides.
+
+All features are binned, so the training set is a contingency table (a count of passes and failures
+for each distinct vector and fold) that one map-side combined aggregation over every candidate
+yields; its size is bounded by the bins, not by the data. Boosting that table takes moments on the
+driver, and the trees become CASE expressions.
 
 The patterns are written so that Java's matcher needs linear time and constant stack on any text:
 possessive runs, and a run may only be entered at its start or where the last match ended.
@@ -45,25 +50,28 @@ GATE = {
 EXTRA = [
     ("spelled_email", "email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20[\[(]?at[\])]?\x20[A-Za-z0-9-]{1,63}+\x20[\[(]?dot[\])]?\x20[A-Za-z]{2,}+", r"\x20[\[(]?dot[\])]?\x20"),
     ("local_phone", "phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"),
-    ("short_card", "card", r"(?<![0-9\x20-])[0-9](?:[\x20-]?+[0-9]){12,14}+(?![0-9])", r"[0-9](?:[\x20-]?+[0-9]){12}"),
+    ("short_card", "card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,14}+(?![\x20-]?[0-9])", r"[0-9](?:[\x20-]?+[0-9]){12}"),
     ("national_id", "id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     ("secret", "secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_?key|access_?key)\x20?[=:]\x20?[\x22'][^\x22'\s]{8,200}+[\x22']", r"(?i)(?:token|secret|passw|key)[a-z]*+\x20?[=:]\x20?[\x22']"),
 ]
 KINDS = ["email", "ip", "card", "phone", "id", "secret"]
-GENERATORS = ["email", "ip", "card", "phone", *[name for name, *_ in EXTRA]]
+GENERATORS = [name for name, *_ in EXTRA]
+#: The probability that what only looks like a generator's kind passes its strict check.
+CHANCE = {"spelled_email": 0.1, "local_phone": 0.64, "short_card": 0.1, "national_id": 0.89, "secret": 0.05}
 FEATURES = ["generator", "size", "digits", "marks", "before", "after", "cue"]
 CONTEXT = 24
 
 
 @dataclass(frozen=True)
 class BoostSettings:
-    """rounds trees of depth two at this learning rate; thresholds keep this precision on the
-    held-out fold (one of ``folds`` by crc32 of the id)."""
+    """rounds trees of depth two at this learning rate; thresholds keep this precision over
+    ``folds`` folds (by crc32 of the id), each scored by trees fitted on the others."""
 
     rounds: int = 40
     rate: float = 0.3
     folds: int = 5
     precision: float = 0.9
+    prior: float = 10.0
 
 
 # ---------------------------------------------------------------- candidates
@@ -95,10 +103,8 @@ def _base_check(kind: str, value: Column) -> Column:
     return n.between(8, 15)
 
 
-def _strict(generator: str, value: Column, base_ok: Column) -> Column:
-    """The label: whether the candidate passes its kind's strict check."""
-    if generator == "email":
-        return value.rlike(r"^[^.].*[^.]@.*\.[A-Za-z]{2,24}$")
+def _strict(generator: str, value: Column) -> Column:
+    """The label: whether the candidate passes its generator's strict check."""
     if generator == "spelled_email":
         return value.rlike(r"dot[\])]? [A-Za-z]{2,6}$") & value.rlike(r"[\[(](?:at|dot)|[0-9._]")
     if generator == "short_card":
@@ -107,10 +113,8 @@ def _strict(generator: str, value: Column, base_ok: Column) -> Column:
         return _digits(value).rlike(r"^[2-9][0-9]{2}[2-9][0-9]{6}$")
     if generator == "national_id":
         return ~value.rlike(r"^(?:000|666|9)") & ~value.rlike(r"-00-|-0000$")
-    if generator == "secret":
-        inside = F.regexp_extract(value, r"[\x22']([^\x22']*)[\x22']", 1)
-        return inside.rlike("[0-9]") & inside.rlike("[A-Za-z]") & (F.length(inside) >= 16)
-    return base_ok
+    inside = F.regexp_extract(value, r"[\x22']([^\x22']*)[\x22']", 1)
+    return inside.rlike("[0-9]") & inside.rlike("[A-Za-z]") & (F.length(inside) >= 16)
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -143,6 +147,16 @@ def _bin(n: Column, *edges: int) -> Column:
     return out
 
 
+def _base(text: Column, kind: str) -> Column:
+    """The base spans of a kind, as an array of structs (kind, start, end)."""
+
+    def placed(s: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"))
+
+    passing = F.filter(_spans(text, BASE[kind]), lambda s: F.coalesce(_base_check(kind, s["value"]), F.lit(False)))
+    return F.when(_gate(text, GATE[kind]), F.transform(passing, placed).cast(SPANS)).otherwise(F.array().cast(SPANS))
+
+
 def _candidates(text: Column, generator: str, kind: str, pattern: str, gate: Column) -> Column:
     """The generator's candidates with their features, as an array of structs."""
 
@@ -151,17 +165,14 @@ def _candidates(text: Column, generator: str, kind: str, pattern: str, gate: Col
         length = F.length(value)
         left = F.when(start > 0, F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))).otherwise(F.lit(""))
         after = F.substring(text, start + length + 1, F.lit(1))
-        base_ok = _base_check(generator, value) if generator in BASE else F.lit(False)
-        digits = F.length(_digits(value))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
             start.alias("start"),
             (start + length).alias("end"),
-            F.coalesce(base_ok, F.lit(False)).alias("base"),
-            F.coalesce(_strict(generator, value, base_ok), F.lit(False)).cast("int").alias("strict"),
+            F.coalesce(_strict(generator, value), F.lit(False)).cast("int").alias("strict"),
             F.lit(GENERATORS.index(generator)).alias("generator"),
             _bin(length, 7, 9, 11, 12, 13, 14, 15, 16, 17, 19, 23, 31, 47).alias("size"),
-            _bin(digits, 0, 2, 7, 9, 10, 12, 13, 14, 15, 16, 19).alias("digits"),
+            _bin(F.length(_digits(value)), 0, 2, 7, 9, 10, 12, 13, 14, 15, 16, 19).alias("digits"),
             _bin(F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")), 0, 1, 2, 3, 5).alias("marks"),
             _char_class(F.substring(left, -1, 1)).alias("before"),
             _char_class(after).alias("after"),
@@ -172,25 +183,26 @@ def _candidates(text: Column, generator: str, kind: str, pattern: str, gate: Col
     return F.when(gate, F.transform(_spans(text, pattern), describe).cast(CANDIDATES)).otherwise(none)
 
 
-CANDIDATES = ("array<struct<kind:int,start:int,end:int,base:boolean,strict:int,"
-              + ",".join(f"{f}:int" for f in FEATURES) + ">>")
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+CANDIDATES = "array<struct<kind:int,start:int,end:int,strict:int," + ",".join(f"{f}:int" for f in FEATURES) + ">>"
 
 
 def _gate(text: Column, gate: str) -> Column:
     return F.contains(text, F.lit(gate)) if gate in ("@", "+") else text.rlike(gate)
 
 
-def candidates_of(text: Column) -> Column:
-    """The candidates of all generators over one whole text."""
-    found = [_candidates(text, k, k, BASE[k], _gate(text, GATE[k])) for k in BASE]
-    found += [_candidates(text, name, kind, pattern, _gate(text, gate)) for name, kind, pattern, gate in EXTRA]
-    return F.concat(*found)
+def proposed(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with columns __sure (the base spans, in order) and __more (the candidates of the other
+    generators that overlap none of them); no shuffle."""
+    found = df.withColumn("__sure", F.array_sort(F.concat(*[_base(text, k) for k in BASE])))
+    more = F.concat(*[_candidates(text, name, kind, pattern, _gate(text, gate)) for name, kind, pattern, gate in EXTRA])
+    return found.withColumn("__more", F.filter(more, lambda c: ~F.exists("__sure", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
 
 
 def propose(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, candidates) for every row; no shuffle."""
+    """(doc_id, __sure, __more) for every row."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.select("doc_id", candidates_of(F.col("text")).alias("candidates"))
+    return proposed(base, F.col("text")).drop("text")
 
 
 # ---------------------------------------------------------------- boosting
@@ -261,18 +273,20 @@ def _probability(model, vector, rate: float) -> float:
     return 1 / (1 + math.exp(-(start + rate * sum(_value(t, vector) for t in trees))))
 
 
-def calibrate(model, counts, settings: BoostSettings) -> dict[int, float]:
-    """For each generator the smallest score from which the held-out precision holds; a generator
-    whose candidates never reach it selects nothing (2.0)."""
+def calibrate(scored: list[tuple[int, float, int, int]], settings: BoostSettings) -> dict[int, float]:
+    """For each generator the smallest score from which the precision holds, of (generator, score,
+    failures, passes); a generator whose candidates never reach it selects nothing (2.0), and one
+    without candidates anything that passes its check (0.0)."""
     out = {}
-    for g in range(len(GENERATORS)):
-        rows = sorted(((_probability(model, v, settings.rate), n, p) for v, n, p in counts if v[0] == g), reverse=True)
-        best, good, bad, i = 2.0, 0, 0, 0
+    for g, name in enumerate(GENERATORS):
+        rows = sorted(((score, n, p) for of, score, n, p in scored if of == g), reverse=True)
+        by_chance = CHANCE[name] / (1 - CHANCE[name])
+        best, good, bad, i = 2.0 if rows else 0.0, 0, 0, 0
         while i < len(rows):
             score = rows[i][0]
             while i < len(rows) and rows[i][0] == score:
                 bad, good, i = bad + rows[i][1], good + rows[i][2], i + 1
-            if good >= settings.precision * (good + bad):
+            if bad * by_chance <= (1 - settings.precision) * (good + settings.prior):
                 best = score
         out[g] = best
     return out
@@ -286,14 +300,24 @@ def _tree_sql(tree, item: str) -> str:
 
 
 def fit(candidates: DataFrame, settings: BoostSettings = BoostSettings()):
-    """(model, thresholds) from a table of (doc_id, candidates)."""
-    one = candidates.select((fold(F.col("doc_id"), settings.folds) == 0).alias("held"), F.explode("candidates").alias("c"))
-    cells = (one.groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
+    """(model, thresholds) from a table of (doc_id, __more)."""
+    one = candidates.select(fold(F.col("doc_id"), settings.folds).alias("fold"), F.explode("__more").alias("c"))
+    cells = (one.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
              .agg(F.sum(1 - F.col("c.strict")).alias("failed"), F.sum(F.col("c.strict")).alias("passed")))
-    rows = cells.orderBy("held", *FEATURES).collect()  # at most the product of the bins
-    table = {held: [(tuple(r[f] for f in FEATURES), r["failed"], r["passed"]) for r in rows if r["held"] == held] for held in (False, True)}
-    model = boost(table[False], settings)
-    return model, calibrate(model, table[True], settings)
+    rows = [(r["fold"], tuple(r[f] for f in FEATURES), r["failed"], r["passed"]) for r in cells.orderBy("fold", *FEATURES).collect()]  # at most the product of the bins
+
+    def learnt(without: int | None):
+        table: dict[tuple, list[int]] = {}
+        for of, vector, n, p in rows:
+            if of != without:
+                cell = table.setdefault(vector, [0, 0])
+                cell[0] += n
+                cell[1] += p
+        return boost([(v, n, p) for v, (n, p) in sorted(table.items())], settings)
+
+    models = {k: learnt(k) for k in sorted({r[0] for r in rows})}
+    scored = [(v[0], _probability(models[k], v, settings.rate), n, p) for k, v, n, p in rows]
+    return learnt(None), calibrate(scored, settings)
 
 
 # ---------------------------------------------------------------- selection
@@ -302,41 +326,42 @@ NAMES = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
 SPAN_TEXT = f"array_join(transform({{}}, s -> concat({NAMES}[s.kind], ':', s.start, ':', s.end)), ',')"
 
 
-def select_spans(df: DataFrame, candidates: str, model, thresholds: dict[int, float], settings: BoostSettings) -> DataFrame:
-    """``df`` with columns __sure (base spans) and __found (all selected spans), by kind and start."""
+def select_spans(df: DataFrame, model, thresholds: dict[int, float], settings: BoostSettings) -> DataFrame:
+    """``df`` (with __sure and __more) with column __found: all selected spans, by kind and start."""
     start, trees = model
     margin = " + ".join([f"{start!r}D", *[f"{settings.rate!r}D * ({_tree_sql(t, 'c')})" for t in trees]])
     limits = "map(" + ", ".join(f"{g}, {t!r}D" for g, t in thresholds.items()) + ")"
     scored = df.withColumn("__scored", F.expr(
-        f"transform({candidates}, c -> struct(c.kind AS kind, c.start AS start, c.end AS end, c.base AS base, "
+        "transform(filter(__more, c -> c.strict = 1), c -> struct(c.kind AS kind, c.start AS start, c.end AS end, false AS base, "
         f"c.generator AS generator, 1D / (1D + exp(-({margin}))) AS score))"))
     best_first = ("CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.start < r.start THEN -1 "
                   "WHEN l.start > r.start THEN 1 WHEN l.generator < r.generator THEN -1 WHEN l.generator > r.generator THEN 1 ELSE 0 END")
-    parted = scored.withColumn("__sure", F.expr("array_sort(filter(__scored, c -> c.base))")).withColumn("__more", F.expr(
-        f"array_sort(filter(__scored, c -> NOT c.base AND c.score >= {limits}[c.generator] AND "
-        f"NOT exists(__sure, b -> b.start < c.end AND c.start < b.end)), (l, r) -> {best_first})"))
-    apart = F.expr("aggregate(__more, filter(__more, c -> false), (got, c) -> "
+    chosen = scored.withColumn("__scored", F.expr(f"array_sort(filter(__scored, c -> c.score >= {limits}[c.generator]), (l, r) -> {best_first})"))
+    apart = F.expr("aggregate(__scored, filter(__scored, c -> false), (got, c) -> "
                    "CASE WHEN exists(got, b -> b.start < c.end AND c.start < b.end) THEN got ELSE concat(got, array(c)) END)")
-    return parted.withColumn("__found", F.array_sort(F.concat(F.col("__sure"), apart))).drop("__scored", "__more")
+    sure = F.expr("transform(__sure, s -> struct(s.kind AS kind, s.start AS start, s.end AS end, true AS base, -1 AS generator, 1D AS score))")
+    return chosen.withColumn("__found", F.array_sort(F.concat(sure, apart))).drop("__scored")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: BoostSettings = BoostSettings()) -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found.
-
-    The counts and base_sha256 are of the base spans; spans adds those that the trees select, and
-    found has them all as structs (kind, start, end, base, score). Texts are searched whole; null
-    texts count as empty and have no spans; offsets count code points, ends excluded; repeated rows
-    give repeated results; other columns are not read. The candidates (a few small structs for a
-    text that holds any, no text) are written once, so both training and scoring read them.
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, found.
+
+    The counts and base_sha256 are of the base spans; spans and n_spans add those that the trees
+    select, and found has them all as structs (kind, start, end, base, score). Texts are searched
+    whole; null texts count as empty and have no spans; offsets count code points, ends excluded;
+    repeated rows give repeated results; other columns are not read. The candidates (a few small
+    structs for a text that holds any, no text) are written once, so both training and scoring read
+    them.
     """
     staged = written(propose(docs, id_col, text_col), "pii-candidates")
     model, thresholds = fit(staged, settings)
-    final = select_spans(staged, "candidates", model, thresholds, settings)
+    final = select_spans(staged, model, thresholds, settings)
     return final.select(
         "doc_id",
         *[F.expr(f"CAST(size(filter(__sure, s -> s.kind = {i})) AS BIGINT) AS n_{k}") for i, k in enumerate(BASE)],
         F.sha2(F.expr(SPAN_TEXT.format("__sure")), 256).alias("base_sha256"),
         F.expr(SPAN_TEXT.format("__found")).alias("spans"),
+        F.size("__found").cast("long").alias("n_spans"),
         F.expr(f"transform(__found, s -> struct({NAMES}[s.kind] AS kind, s.start AS start, s.end AS end, s.base AS base, s.score AS score))").alias("found"),
     )
 
@@ -369,7 +394,6 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and replaced beside its text, so no row is joined or shuffled.
     """
     model, thresholds = fit(propose(docs, id_col, text_col), settings)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    marked = select_spans(docs.withColumn("__candidates", candidates_of(body)), "__candidates", model, thresholds, settings)
+    marked = select_spans(proposed(docs, F.coalesce(F.col(text_col), F.lit(""))), model, thresholds, settings)
     changed = F.when(F.size("__found") > 0, redacted(F.col(text_col), F.col("__found"))).otherwise(F.col(text_col))
     return marked.withColumn(text_col, changed).select(*docs.columns)

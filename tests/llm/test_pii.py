@@ -63,21 +63,80 @@ def test_random_texts(documents):
 def test_odd_rows(odd):
     from conftest_rows import ODD
 
-    heavy = [(i, t) for i, t in ODD if i not in (7,)]
-    got = find_pii(odd).collect()
-    assert len(got) == len(ODD)
-    check(odd.where("doc_id is null or doc_id != 7"), heavy)
+    check(odd, ODD)
     assert find_pii(odd.limit(0)).count() == 0
 
 
-def test_training_selects_secrets_and_leaves_plain_text(documents):
-    rows = [(i, f'key token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end') for i in range(60)]
-    rows += [(100 + i, f"mail u{i}@mail.example.com, host 10.0.{i}.1, tel +1 (555) 010-{1000 + i}") for i in range(60)]
-    rows += [(200 + i, f"number {4 * 10**15 + 7 * i} and words") for i in range(60)]
-    rows += [(300 + i, "only words and 12 small 345 numbers") for i in range(20)]
-    spans = {r["doc_id"]: r["spans"] for r in find_pii(documents(rows)).collect()}
-    assert sum("secret:" in spans[i] for i in range(60)) == 60
-    assert not any(spans[i] for i in range(300, 320))
+def added(df):
+    """(doc_id, kind, start, end) of all spans beside the base ones."""
+    return {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in find_pii(df).collect() for s in r["found"] if not s["base"]}
+
+
+def planted(rows):
+    """Texts made of parts, and the spans of the parts that have a kind."""
+    texts, spans = [], set()
+    for i, parts in rows:
+        text = ""
+        for part in parts:
+            if isinstance(part, tuple):
+                spans.add((i, part[0], len(text), len(text) + len(part[1])))
+                part = part[1]
+            text += part
+        texts.append((i, text))
+    return texts, spans
+
+
+def digits_with_checksum(n, good):
+    return next(s for s in (f"{n}{d}" for d in range(10)) if luhn(s) == good)
+
+
+def corpus(secrets):
+    """Planted data beside base spans, and what only looks alike: numbers of 15 digits of which one in
+    ten has a right checksum, serial numbers in the form of a local phone, short secrets."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(secrets):
+        rows.append((i, ["set ", ("secret", f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"'), " é\n"]))
+    for i in range(100, 160):
+        rows.append((i, ["card ", ("card", digits_with_checksum(f"3782{rng.randrange(10 ** 10):010}", True)), " paid"]))
+        rows.append((i + 100, ["ssn ", ("id", f"{rng.randrange(100, 600)}-{rng.randrange(1, 99):02}-{rng.randrange(1, 9999):04}"), "."]))
+        rows.append((i + 200, ["call ", ("phone", f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(10 ** 4):04}"), " or +1 (407) 555-7710"]))
+    for i in range(1000, 1200):
+        rows.append((i, [f"number {rng.randrange(10 ** 14, 10 ** 15)} and words"]))
+        rows.append((i + 1000, [f"mail u{i}@mail.example.com, host 10.0.{i % 200}.1"]))
+        rows.append((i + 2000, ['token = "word" only words and 12 small 345 numbers']))
+    return rows
+
+
+def test_planted_spans_are_found_and_others_left(documents):
+    for secrets in (1, 13, 60):
+        rows, spans = planted(corpus(secrets))
+        found = added(documents(rows))
+        assert len(found & spans) / len(spans) >= 0.95  # recall
+        assert len(found & spans) / len(found) >= 0.95  # precision
+        assert {s for s in spans if s[1] == "secret"} <= found
+
+
+def test_added_spans_pass_their_checks_and_overlap_nothing(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in find_pii(docs).collect():
+        spans = sorted((s["start"], s["end"], s["kind"], s["base"]) for s in r["found"])
+        assert r["n_spans"] == len(spans)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]) if not (a[3] and b[3]))
+        for start, end, kind, base_span in spans:
+            value = texts[r["doc_id"]][start:end]
+            if not base_span and kind == "card":
+                assert luhn(re.sub("[^0-9]", "", value))
+            if not base_span and kind == "secret":
+                assert re.search("[0-9]", value) and len(value) >= 24
+
+
+def test_failures_of_a_generator_with_few_candidates_select_nothing_wrong(documents):
+    rows = [(i, f"number {digits_with_checksum(f'{i + 11}' * 7, False)} end") for i in range(7)] + [(50, "valid 4222222222222 end")]
+    assert added(documents(rows)) <= {(50, "card", 6, 19)}
 
 
 def test_redaction(documents):
