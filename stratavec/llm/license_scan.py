@@ -1,13 +1,16 @@
 """License notices by an exact set-similarity join between text blocks and templates.
 
-A block (a line of a text) matches a template when it holds at least ``threshold`` of the
-template's distinct words. The join is exact: words are ordered by their frequency over the whole
-corpus, rarest first; a block that contains enough of a template must share one of the template's
-first ``|T| - need + 1`` words (prefix filter), must hold ``need`` template words at all (length
-filter), and with a shared word at place i of the template and j of the block (from 0) at most
-``i + 1 + min(|T| - i - 1, |B| - j - 1)`` words can agree (positional filter). Survivors are
-verified on the full sets. Everything is built-in expressions: no Python runs on the executors, nothing is
-shuffled but the counts of the template vocabulary.
+A block is a window of consecutive words of a text, across lines, of at most ``1 / containment`` times
+the words of the template (upper length filter); it matches when it holds at least that part of the
+template's distinct words. A window can be moved to begin with a word of the template without
+losing any, so the windows that begin with one are all that need a look. The join is exact: words
+are ordered by their frequency over the whole corpus, rarest first; a window that contains enough of
+a template must hold one of the template's first ``|T| - need + 1`` words (prefix filter) and
+``need`` words of the template at all (lower length filter), and where its rarest one has place i in
+the template, at most ``|T| - i`` can agree (positional filter). Survivors are verified on the full
+sets. Everything is built-in expressions: no Python runs on the executors, nothing is shuffled but
+the counts of the template vocabulary. A text costs time in proportion to the template words that it
+holds, times the length of a window.
 """
 
 from __future__ import annotations
@@ -24,31 +27,25 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Templates of the similarity join: label and notice.
+#: Templates of the similarity join: notice, label and the containment that a block needs. Fixed
+#: values: the words of usual headers. Long notices that differ in one word need all of theirs.
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software under the mit license",
-    "apache-2": "licensed under the apache license version 2",
-    "cc-by-nc": "licensed under creative commons attribution cc by nc",
-    "cc-by-sa": "licensed under creative commons attribution cc by sa",
-    "gpl-3": "licensed under the gnu general public license version 3",
-    "gpl-2": "licensed under the gnu general public license version 2",
-    "lgpl": "licensed under the gnu lesser general public license",
-    "mpl-2": "subject to the terms of the mozilla public license version 2",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "proprietary": "copyright all rights reserved proprietary and confidential",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": ("mit", 0.9),
+    "licensed under the mit license": ("mit", 0.9),
+    "licensed under the apache license version 2": ("apache-2", 0.9),
+    "licensed under creative commons attribution cc by nc": ("cc-by-nc", 0.9),
+    "licensed under creative commons attribution cc by sa": ("cc-by-sa", 0.9),
+    "licensed under the gnu general public license version 3": ("gpl-3", 0.9),
+    "licensed under the gnu general public license version 2": ("gpl-2", 0.9),
+    "under the terms of the gnu general public license as published by the free software foundation either version 3": ("gpl-3", 1.0),
+    "under the terms of the gnu general public license as published by the free software foundation either version 2": ("gpl-2", 1.0),
+    "under the terms of the gnu lesser general public license": ("lgpl", 0.9),
+    "licensed under the gnu lesser general public license": ("lgpl", 0.9),
+    "subject to the terms of the mozilla public license": ("mpl-2", 0.9),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("bsd", 0.9),
+    "copyright all rights reserved proprietary and confidential": ("proprietary", 0.9),
 }
 
-#: Templates for notices as they stand in files, with the words that the usual headers hold.
-NOTICES = TEMPLATES | {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "gpl-3": "under the gnu general public license version 3",
-    "gpl-2": "under the gnu general public license version 2",
-    "lgpl": "under the gnu lesser general public license",
-}
-#: Lines over which such a notice may be wrapped.
-NOTICE_LINES = 4
-
-THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
@@ -86,65 +83,64 @@ def corpus_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                  templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, run: int = 1) -> DataFrame:
+def window_length(template: str, threshold: float) -> int:
+    """The most words that a block may have."""
+    return math.floor(len(template.split()) / threshold + 1e-9)
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  templates: dict[str, tuple[str, float]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     base_labels come from consecutive phrases anywhere in the text (n_base counts all places,
     first_word and last_word are their smallest and largest starts, null without any); labels adds
     those of the similarity join. score is 1 where a phrase stands, else the largest containment
     of a matching template, else 0. Null texts count as empty; every input row gives one row; other
-    columns are not read. Lines of any length are whole blocks; with ``run`` above 1 a block is each
-    ``run`` consecutive lines that are not empty, so that a wrapped notice lies whole in one of them.
+    columns are not read. Words count wherever lines break, so a wrapped notice is found, and words
+    that are scattered over more than a window are not.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = base.select("doc_id", "text", word_text(F.col("text")).alias("words"))
-    sets = {label: sorted(set(t.split())) for label, t in templates.items()}
-    vocabulary = sorted(set().union(*map(set, sets.values()))) if sets else []
+    words = docs.select(F.col(id_col).alias("doc_id"), word_text(F.col(text_col)).alias("words"))
+    vocabulary = sorted({w for t in templates for w in t.split()})
     rank = {w: i for i, w in enumerate(corpus_order(words.select("words"), vocabulary))} if vocabulary else {}
 
     entries, prefix_words = [], set()
-    for label, bag in sets.items():
-        ordered = sorted(bag, key=rank.__getitem__)
+    for notice, (label, threshold) in templates.items():
+        ordered = sorted(set(notice.split()), key=rank.__getitem__)
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
         prefix = ordered[: len(ordered) - need + 1]
         prefix_words |= set(prefix)
-        entries.append((label, ordered, need, prefix))
-    ranked = F.array(*[F.lit(w) for w in sorted(rank, key=rank.__getitem__)]) if rank else F.array().cast("array<string>")
-
-    def matches(block: Column) -> Column:
-        """The templates that the block (its template words, rarest first) holds, with containment."""
-        found = []
-        for label, ordered, need, prefix in entries:
-            whole = F.array(*[F.lit(w) for w in ordered])
-            places = []
-            for i, word in enumerate(prefix):
-                j = F.array_position(block, word)
-                left = F.least(F.lit(len(ordered) - i - 1), F.size(block) - j)
-                places.append((j > 0) & (left + 1 + F.lit(i) >= need))
-            near = F.lit(False)
-            for place in places:
-                near = near | place
-            shared = F.size(F.array_intersect(whole, block))
-            kept = (F.size(block) >= need) & near & (shared >= need)
-            found.append(F.when(kept, F.struct(F.lit(label).alias("label"), (shared / len(ordered)).cast("double").alias("score"))))
-        return F.array_compact(F.array(*found))
+        entries.append((label, ordered, need, prefix, window_length(notice, threshold)))
+
+    def contained(ordered: list[str], need: int, prefix: list[str], length: int) -> Column:
+        """The largest containment of a template in any window; null where none matches."""
+        own = F.filter("marks", lambda m: m["word"].isin(ordered))
+
+        def held(marks: Column, i: Column) -> Column:
+            start = F.get(marks, i)["place"]
+            window = F.filter(F.slice(marks, i + 1, F.lit(length)), lambda m: m["place"] < start + length)
+            block = F.transform(window, lambda m: m["word"])
+            rarest = F.lit(len(ordered))
+            for place, word in reversed(list(enumerate(prefix))):
+                rarest = F.when(F.array_contains(block, word), place).otherwise(rarest)
+            passes = (F.size(block) >= need) & (F.lit(len(ordered)) - rarest >= need)
+            return F.when(passes, F.size(F.array_distinct(block)))
+
+        # A one-element array names the marks, so that they are filtered once.
+        best = F.transform(F.array(own), lambda marks: F.array_max(F.transform(F.sequence(F.lit(0), F.size(marks) - 1), lambda i: held(marks, i))))
+        some = " (?:" + "|".join(sorted(prefix)) + ") "
+        shared = F.when(F.col("words").rlike(some) & F.exists("marks", lambda m: m["word"].isin(ordered)), F.get(best, F.lit(0)))
+        return F.when(shared >= need, shared / len(ordered))
 
     hits = F.array().cast("array<struct<label:string,score:double>>")
     if entries:
+        listed = F.transform(F.split(F.btrim("words"), " "), lambda w, i: F.struct(w.alias("word"), i.alias("place")))
         any_prefix = " (?:" + "|".join(sorted(prefix_words)) + ") "
-        lines = F.split(F.col("text"), r"[\n\r]+")
-        if run > 1:
-            def runs(of: Column) -> Column:
-                starts = F.sequence(F.lit(1), F.greatest(F.size(of) - run + 1, F.lit(1)))
-                return F.transform(starts, lambda i: F.concat_ws("\n", F.slice(of, i, F.lit(run))))
-
-            lines = F.flatten(F.transform(F.array(lines), runs))  # the text is split once
-        lines = F.filter(lines, lambda line: word_text(line).rlike(any_prefix))
-        blocks = F.transform(lines, lambda line: F.array_intersect(ranked, F.split(word_text(line), " ")))
-        hits = F.when(F.col("words").rlike(any_prefix), F.flatten(F.transform(blocks, matches))).otherwise(hits)
+        marked = words.withColumn("marks", F.when(F.col("words").rlike(any_prefix), F.filter(listed, lambda m: m["word"].isin(vocabulary))))
+        found = [F.struct(F.lit(label).alias("label"), contained(*rest).cast("double").alias("score")) for label, *rest in entries]
+        hits = F.when(F.col("marks").isNotNull(), F.filter(F.array(*found), lambda h: h["score"].isNotNull())).otherwise(hits)
+        words = marked
     staged = words.select("doc_id", "words", hits.alias("hits"))
 
     total = word_count(F.col("words"))
@@ -177,27 +173,32 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def license_sql() -> str:
-    """The scan with the default phrases and templates, by comparing every line with every template."""
+    """The scan with the default phrases and templates: every window that begins with a word of a
+    template is compared with it, by a join of places."""
     words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
     phrases = ", ".join(f"('{label}', {listed(p.split())})" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {listed(sorted(set(t.split())))})" for label, t in TEMPLATES.items())
+    templates = ", ".join(f"({i}, '{label}', {listed(sorted(set(t.split())))}, {window_length(t, least)}, {least})" for i, (t, (label, least)) in enumerate(TEMPLATES.items()))
     return rf"""
-WITH d AS MATERIALIZED (
-  SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS body FROM documents
-), w AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(body, '{words}') AS ws FROM d
-), ph(label, p) AS (VALUES {phrases}), te(label, t) AS (VALUES {templates}),
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{words}') AS ws FROM documents
+), ph(label, p) AS (VALUES {phrases}), te(i, label, t, width, least) AS (VALUES {templates}),
 places AS (
   SELECT doc_id, label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(p) - 1] = p)) - 1 AS place FROM w, ph
 ), b AS (
   SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi FROM places GROUP BY doc_id
-), lines AS (
-  SELECT doc_id, unnest(regexp_split_to_array(body, '[\n\r]+')) AS line FROM d
-), sets AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{words}')) AS ws FROM lines
+), every_word AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w
+), tw AS (
+  SELECT i, unnest(t) AS word, width FROM te
+), marks AS MATERIALIZED (
+  SELECT doc_id, i, word, place, width FROM every_word JOIN tw USING (word)
+), windows AS (
+  SELECT a.doc_id, a.i, a.place, count(DISTINCT z.word) AS n
+  FROM marks a JOIN marks z ON z.doc_id = a.doc_id AND z.i = a.i AND z.place >= a.place AND z.place < a.place + a.width
+  GROUP BY a.doc_id, a.i, a.place
 ), hits AS (
-  SELECT doc_id, label, len(list_intersect(ws, t)) / len(t) AS share FROM sets, te WHERE len(list_intersect(ws, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)
+  SELECT doc_id, label, max(n) / any_value(len(t)) AS share FROM windows JOIN te USING (i) WHERE n >= ceil(least * len(t) - 1e-9) GROUP BY doc_id, i, label
 ), best AS (
   SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id
 ), base AS (

@@ -1,6 +1,6 @@
 import re
 
-from stratavec.llm.license_scan import NOTICE_LINES, NOTICES, TEMPLATES, THRESHOLD, scan_licenses
+from stratavec.llm.license_scan import TEMPLATES, scan_licenses
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -19,12 +19,11 @@ def expected(text):
         places += at
         labels |= {label} if at else set()
     best, more = 0.0, set(labels)
-    for line in re.split(r"[\n\r]+", text or ""):
-        block = set(WORD.findall(lower(line)))
-        for label, template in TEMPLATES.items():
-            t = set(template.split())
-            share = len(t & block) / len(t)
-            if share >= THRESHOLD - 1e-12:
+    for template, (label, least) in TEMPLATES.items():
+        t, width = set(template.split()), int(len(template.split()) / least + 1e-9)
+        for i in range(len(words)):
+            share = len(t & set(words[i:i + width])) / len(t)
+            if share >= least - 1e-12:
                 more.add(label)
                 best = max(best, share)
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if labels else best)
@@ -51,26 +50,38 @@ def test_random_lines(documents):
     import random
 
     rng = random.Random(3)
-    vocabulary = sorted({w for t in TEMPLATES.values() for w in t.split()})
+    vocabulary = sorted({w for t in TEMPLATES for w in t.split()})
     rows = []
     for i in range(200):
-        words = list(rng.choice(list(TEMPLATES.values())).split())
+        words = list(rng.choice(list(TEMPLATES)).split())
         for _ in range(rng.randrange(4)):
             words[rng.randrange(len(words))] = rng.choice(vocabulary + ["x", "\n"])
         rows.append((i, " ".join(words)))
     check(documents(rows), rows)
 
 
-def test_wrapped_notices(documents):
+def test_notices_as_they_stand_in_files(documents):
+    """Wrapped, commented and reflowed notices are found; the same words out of reach are not."""
+    import random
+
+    rng = random.Random(5)
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n"
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+    bsd = " * Redistribution and use in source and binary forms, with or\r\n * without modification, are permitted provided that\r\n"
     rows = [
         ("This is licensed\nunder the GNU General Public\nLicense, version 3", "gpl-3"), ("a\n\nb\n" * 50 + gpl.format(3) + "c\n" * 50, "gpl-3"),
-        (gpl.format(2).replace("\n", "\r\n"), "gpl-2"), ("Copyright 2020\n\n" + mit, "mit"), (mit.replace("\n", " "), "mit"),
-        ("under the GNU General Public License\n" + "other\n" * NOTICE_LINES + "version 3", ""), ("", ""), (None, ""),
+        (gpl.format(2).replace("\n", "\r\n"), "gpl-2"), ("Copyright 2020\n\n" + mit, "mit"), (mit.replace("\n", " "), "mit"), (bsd, "bsd"),
+        ("word " * 30_000 + "Subject to\nthe terms of the Mozilla\n\nPublic License", "mpl-2"),
+        ("general 3 public under words version filler the licensed apples gnu foo license bar", ""), ("under the GNU General Public License\n" + "other\n" * 20 + "version 3", ""),
+        ("the license of the software and the person", ""), ("", ""), (None, ""),
     ]
-    got = scan_licenses(documents([(i, t) for i, (t, _) in enumerate(rows)]), templates=NOTICES, run=NOTICE_LINES).collect()
-    assert {r["doc_id"]: r["labels"] for r in got} == {i: label for i, (_, label) in enumerate(rows)}
+    for template in TEMPLATES:
+        words = template.split()
+        rng.shuffle(words)
+        rows.append(("\n".join(f"{w} filler{i} more{i}" for i, w in enumerate(words)), ""))  # scrambled and scattered
+    rows += [("\n* ".join(template.title().split()), label) for template, (label, _) in TEMPLATES.items()]  # a word a line
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(documents([(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(rows)}
 
 
 def test_odd_rows(documents, odd):
