@@ -6,18 +6,15 @@ from stratavec.llm.topk_search import TreeSettings, top_k
 
 
 def expected(rows, k=20):
-    v = {}
+    v = []
     for i, x in rows:
-        if i is None or not x or any(e is None for e in x) or not np.isfinite(x).all():
-            continue
-        q = np.floor(64 * np.array(x, dtype=np.float32).astype(float))
-        if i not in v or (len(q), q.tobytes()) < (len(v[i]), v[i].tobytes()):
-            v[i] = q
+        if i is not None and x and not any(e is None for e in x) and np.isfinite(x).all():
+            v.append((i, np.floor(64 * np.array(x, dtype=np.float32).astype(float))))
     out = []
-    for i, q in v.items():
+    for n, (i, q) in enumerate(v):
         if i % 20 == 0:
-            found = sorted((-int(q @ x), j) for j, x in v.items() if j != i and len(x) == len(q))[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+            found = sorted((-int(q @ x), j) for m, (j, x) in enumerate(v) if m != n and len(x) == len(q))[:k]
+            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(found)]
     return sorted(out)
 
 
@@ -30,7 +27,7 @@ def test_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.standard_normal(8) + 4 * (i % 3)).tolist()) for i in range(400)]
     assert run(spark, rows) == expected(rows)
-    tight = TreeSettings(shard_rows=40, page_rows=6, query_block=5, lanes=3, sample_rows=100)
+    tight = TreeSettings(shard_rows=40, page_rows=6, query_block=5, sample_rows=100)
     assert run(spark, rows, tight) == expected(rows)
 
 
@@ -46,3 +43,23 @@ def test_odd_rows(spark):
     assert run(spark, rows) == expected(rows)
     assert run(spark, []) == []
     assert run(spark, [(20, None)]) == []
+
+
+def test_blocks_reach_only_shards_that_can_beat_their_scores(spark, monkeypatch):
+    """Well separated subtrees: the second pass sends a block nowhere but to its own subtree."""
+    from stratavec.llm import topk_search
+
+    rng = np.random.default_rng(3)
+    axes = 40 * np.eye(8)
+    rows = [(i, (axes[i % 8] + rng.standard_normal(8)).tolist()) for i in range(1600)]
+    pairs, visited = [], topk_search._visited
+
+    def counted(index, asked, k):
+        pairs.append({(r["route"], r["home"]) for r in asked.select("route", "home").collect()})
+        return visited(index, asked, k)
+
+    monkeypatch.setattr(topk_search, "_visited", counted)
+    settings = TreeSettings(k=5, shard_rows=50, page_rows=10, query_block=4, sample_rows=800)
+    assert run(spark, rows, settings) == expected(rows, 5)
+    all_pairs = len({r for r, _ in pairs[1]}) * len({h for _, h in pairs[0]})
+    assert len(pairs[1]) < 0.5 * all_pairs
