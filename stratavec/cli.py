@@ -85,6 +85,9 @@ def parse_search(args: list[str]) -> SearchParams:
         elif flag == "-max":
             limit = int(value())
             p = replace(p, max_data=None if limit < 0 else limit)
+        elif flag == "-maxq":
+            limit = int(value())
+            p = replace(p, max_queries=None if limit < 0 else limit)
         else:
             log.warning("unknown flag %s", flag)
     chosen = next((m for m in METHOD_FLAGS.values() if m in methods), None)

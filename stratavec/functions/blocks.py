@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 BLOCK = 1024
 SMALL_BLOCKS = 32
-LANES = 64
+#: Pairs of blocks that one task should take.
+TASK_PAIRS = 64
 PACKED = "ids binary, vectors binary, dim int"
 
 
@@ -95,24 +97,47 @@ def gathered(df: DataFrame, id_col: str, vec_col: str, block: int = BLOCK) -> Da
     return packed(rows.repartition(max(1, -(-n // (4 * block)))), id_col, vec_col, block)
 
 
+def grid(data_blocks: int, query_blocks: int) -> tuple[int, int]:
+    """(lanes of the data, lanes of the queries): a task takes one lane of each, about TASK_PAIRS
+    pairs of blocks, and the lanes are so shared out that the copies of both sides are fewest."""
+    tasks = max(1.0, data_blocks * query_blocks / TASK_PAIRS)
+    x = min(max(1, data_blocks), max(1, math.ceil(math.sqrt(tasks * data_blocks / max(1, query_blocks)))))
+    return x, min(max(1, query_blocks), max(1, math.ceil(tasks / x)))
+
+
 def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[..., Iterator[tuple]], key: str | None = None) -> DataFrame:
     """Every block of ``queries`` against every block of ``data`` (both packed), or against those of
     the same ``key``: ``work(q_ids, q, ids, x)`` yields output rows.
 
     A query side of a counted, small number of blocks is broadcast and the data stays where it is;
-    a larger one meets the data by lane, an equi-join, each block of the data in one lane only.
+    a larger one meets the data by equi-joins on the lanes of a grid, whose size follows from the
+    counted blocks. With a key, each key's blocks of data are cut into as many shards as its pairs of
+    blocks need, and its query blocks are copied to those, so a long list is many tasks.
     """
     out = to_arrow_schema(T.StructType.fromDDL(schema))
     asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
     small = queries.limit(SMALL_BLOCKS + 1).count() <= SMALL_BLOCKS
-    if key:
-        pairs = data.join(F.broadcast(asked) if small else asked, F.col(key) == F.col(f"q_{key}"))
-    elif small:
-        pairs = data.crossJoin(F.broadcast(asked))
+    if small:
+        pairs = data.join(F.broadcast(asked), F.col(key) == F.col(f"q_{key}")) if key else data.crossJoin(F.broadcast(asked))
+    elif key:
+        # One row a key, hence as few rows as there are lists.
+        sizes = data.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy(F.col(f"q_{key}").alias(key)).agg(F.count(F.lit(1)).alias("q_n")), key)
+        shards = sizes.select(F.col(key).alias("k"), F.least(F.col("n"), F.ceil(F.col("n") * F.col("q_n") / TASK_PAIRS)).cast("int").alias("shards"))
+        held = data.join(F.broadcast(shards), F.col(key) == F.col("k")).withColumn("shard", F.pmod(F.xxhash64("ids"), F.col("shards")).cast("int")).drop("k", "shards")
+        sent = asked.join(F.broadcast(shards), F.col(f"q_{key}") == F.col("k")).withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("k", "shards")
+        pairs = held.join(sent, (F.col(key) == F.col(f"q_{key}")) & (F.col("shard") == F.col("q_shard"))).drop("shard", "q_shard")
     else:
-        lane = F.pmod(F.xxhash64("ids"), F.lit(LANES)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
-        pairs = data.withColumn("lane", lane).join(asked.withColumn("lane", every), "lane").drop("lane")
+        x, y = grid(data.count(), queries.count())
+
+        def lane(ids: str, lanes: int):
+            return F.pmod(F.xxhash64(ids), F.lit(lanes)).cast("int")
+
+        def every(lanes: int):
+            return F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+
+        held = data.withColumn("x", lane("ids", x)).withColumn("y", every(y))
+        sent = asked.withColumn("y", lane("q_ids", y)).withColumn("x", every(x))
+        pairs = held.join(sent, ["x", "y"]).drop("x", "y")
     names = pairs.columns
 
     def run(batches):

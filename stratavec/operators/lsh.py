@@ -11,7 +11,7 @@ from ..functions.hashing import bucket, composite
 from ..functions.vec import floor_hash
 from ..plans.draws import LshDraws, lsh_draws
 from ..plans.params import LshParams
-from ..plans.sizes import broadcast_if_small
+from ..plans.sizes import broadcast_if_small, is_small
 from .base import Index, dimension
 
 
@@ -74,13 +74,19 @@ class LSH(Index):
         slots = self.rows.count()
         return self.entries().groupBy("tbl", bucket(F.col("hid"), slots).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        """(qid, id, vec) of rows that share an identifier with the query, once for each such table."""
+    def query_candidates(self, queries: DataFrame) -> DataFrame:
+        """(qid, id) of rows that share an identifier with the query in any table: only identifiers
+        are joined."""
         if not self.dim:
-            return queries.select("qid").limit(0).crossJoin(self.vectors.select("id", "vec"))
+            return queries.select("qid").limit(0).crossJoin(self.vectors.select("id"))
         asked = self.identified(queries.select("qid", "qvec"), "qid", "qvec", self.engine)
         probes = broadcast_if_small(asked.select("qid", F.posexplode("hids").alias("tbl", "hid")))
-        entries = self.rows.select("id", "vec", F.posexplode("hids").alias("tbl", "hid"))
-        return entries.join(probes, ["tbl", "hid"]).select("qid", "id", "vec")
-
+        return self.entries().join(probes, ["tbl", "hid"]).select("qid", "id").distinct()
 
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """(qid, id, vec) of the pairs: a vector is shuffled once, however many tables find it."""
+        pairs = self.query_candidates(queries)
+        if is_small(queries):  # few pairs a row: they go to the vectors, which stay where they are
+            listed = F.broadcast(pairs) if is_small(pairs) else pairs
+            return self.vectors.select("id", "vec").join(listed, "id").select("qid", "id", "vec")
+        return pairs.join(self.vectors.select("id", "vec"), "id").select("qid", "id", "vec")

@@ -3,7 +3,8 @@
 A vector's parts are replaced by the nearest codewords of their codebooks. All codebooks are trained
 in one job, a group for each part, on a sample of bounded size. A query meets the codes through a
 table of squared distances to every codeword (one for each list that it reads), and the distance of
-a row is the sum of the table entries of its codes: squared, and not ranked again by exact vectors.
+a row is the sum of the table entries of its codes: squared, and not ranked again by exact vectors
+unless a search asks for it (``rerank``).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..plans.sizes import broadcast_if_small
 from .base import Index
 from .ivf import CoarseQuantizer
 from .kmeans import sampled, spark_centres
-from .search import top_n
+from .search import measured, top_n
 
 
 def train_part(x: np.ndarray, part: int, p: PqParams) -> np.ndarray:
@@ -190,14 +191,19 @@ class IVFPQ(Index):
 
     def adc(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
         """(qid, id, adc) of all candidates; a list's codes meet the tables of its queries."""
-        lut = broadcast_if_small(self.lut(queries), 2_000)
+        lut = broadcast_if_small(self.lut(queries))
         pairs = self.rows.join(lut, "cid")
         pairs = pairs.where("id != qid") if exclude_self else pairs
         return pairs.select("qid", "id", ProductQuantizer.adc_distance(F.col("lut"), F.col("codes")).alias("adc"))
 
-    def knn_query(self, queries: DataFrame, n: int, exclude_self: bool = False) -> DataFrame:
-        """(qid, rank, id, dist), dist being the squared table distance."""
-        return top_n(self.adc(queries, exclude_self).withColumnRenamed("adc", "dist"), n)
+    def knn_query(self, queries: DataFrame, n: int, exclude_self: bool = False, rerank: int | None = None) -> DataFrame:
+        """(qid, rank, id, dist), dist being the squared table distance. With ``rerank``, the so many
+        nearest by table distance are ranked by their exact vectors, and dist is their distance."""
+        rough = self.adc(queries, exclude_self).withColumnRenamed("adc", "dist")
+        if rerank is None:
+            return top_n(rough, n)
+        short = top_n(rough, max(n, rerank)).select("qid", "id")
+        return top_n(measured(self.vectors.select("id", "vec").join(broadcast_if_small(short), "id"), queries), n)
 
     def range_search(self, queries: DataFrame, radius: float, exclude_self: bool = False, squared_radius: bool = False) -> DataFrame:
         limit = radius * radius if squared_radius else radius

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import cells, gathered, packed
+from ..functions.blocks import BLOCK, cells, gathered, grid, packed
 from ..functions.kernels import exact_distances, nearest
 from ..functions.vec import Distance, l2
-from ..plans.sizes import broadcast_if_small
+from ..plans.sizes import broadcast_if_small, is_small
 
 KNN = "qid long, id long, dist double"
 
@@ -47,8 +47,7 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, n: int, exclude_self: bool
     distance builder. Each task keeps n rows a query and block; the window merges them.
     """
     if engine == "columns":
-        asked = broadcast_if_small(queries.select("qid", "qvec"))
-        pairs = vectors.select("id", "vec").crossJoin(asked)
+        pairs = _every_pair(vectors, queries)
         pairs = pairs.where("id != qid") if exclude_self else pairs
         return top_n(pairs.select("qid", "id", distance(F.col("qvec"), F.col("vec")).alias("dist")), n)
 
@@ -72,12 +71,23 @@ def exact_range(vectors: DataFrame, queries: DataFrame, radius: float) -> DataFr
     return cells(packed(vectors, "id", "vec"), gathered(queries, "qid", "qvec"), KNN, work)
 
 
+def _every_pair(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, vec, qid, qvec) of every vector and query. A small query side is broadcast; a larger one
+    meets the vectors on the lanes of a grid."""
+    asked = queries.select("qid", "qvec")
+    if is_small(asked):
+        return vectors.select("id", "vec").crossJoin(F.broadcast(asked))
+    x, y = grid(-(-vectors.count() // BLOCK), -(-queries.count() // BLOCK))
+    held = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(x)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(y - 1))).cast("long").alias("y"))
+    sent = asked.select("qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(y)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(x - 1))).cast("long").alias("x"))
+    return held.join(sent, ["x", "y"]).drop("x", "y")
+
+
 def distance_table(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, l2, l2sq, dot) of every query and vector."""
-    asked = broadcast_if_small(queries.select("qid", "qvec"))
     from ..functions.vec import dot, l2sq
 
-    pairs = vectors.select("id", "vec").crossJoin(asked)
+    pairs = _every_pair(vectors, queries)
     a, b = F.col("qvec"), F.col("vec")
     return pairs.select("qid", "id", l2(a, b).alias("l2"), l2sq(a, b).alias("l2sq"), dot(a, b).alias("dot"))
 

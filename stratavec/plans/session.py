@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``. A local
+    session without the setting gets a folder of its own; a cluster session is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if sc.applicationId not in _OWN_FOLDERS:
+            _OWN_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="stratavec-")
+            atexit.register(shutil.rmtree, _OWN_FOLDERS[sc.applicationId], ignore_errors=True)
+        folder = _OWN_FOLDERS[sc.applicationId]
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 def ship_package(spark: SparkSession, root: str) -> None:
     """Let Python workers that share the driver's files import the package from ``root``.

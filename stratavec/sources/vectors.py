@@ -97,6 +97,62 @@ def read_idx3(spark: SparkSession, path: str, limit: int | None = 1000, normalis
     return rows.withColumn("vec", F.transform("vec", lambda x: (x / 255).cast("float"))) if normalise else rows
 
 
+def _encoded(path: str, part: int | None, head: bytes, rows) -> tuple[str, int]:
+    """Write bytes through Arrow's file systems, which know local paths and cluster URIs alike."""
+    from pyarrow import fs
+
+    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if part is not None:
+        system.create_dir(folder, recursive=True)
+        folder = f"{folder}/part-{part:05d}"
+    n = 0
+    with system.open_output_stream(folder) as out:
+        out.write(head)
+        for count, data in rows:
+            out.write(data)
+            n += count
+    return folder, n
+
+
+def write_fvecs(vectors: DataFrame, path: str) -> int:
+    """(id, vec) as a folder of fvecs files, in the order of ids; returns the number of rows. Each task
+    writes the file of its range of ids, and a task that is run again writes the same file."""
+    from pyspark import TaskContext
+
+    def save(frames):
+        def rows():
+            for frame in frames:
+                x = np.array(frame["vec"].tolist(), dtype="<f4")
+                if len(x):
+                    head = np.full((len(x), 1), x.shape[1], dtype="<i4")
+                    yield len(x), np.concatenate([head, x.view("<i4")], axis=1).tobytes()
+
+        name, n = _encoded(path, TaskContext.get().partitionId(), b"", rows())
+        yield pd.DataFrame({"path": [name], "n": [n]})
+
+    ordered = vectors.select(F.col("id").cast("long").alias("id"), "vec").repartitionByRange("id").sortWithinPartitions("id")
+    return ordered.mapInPandas(save, "path string, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_idx3(images: DataFrame, path: str, height: int, width: int) -> int:
+    """(id, vec) of pixels from 0 to 255 as one IDX3 file, in the order of ids. The header of the format
+    counts the images, and they follow in one sequence, so one task streams them."""
+    n = images.count()
+    head = np.array([IDX3_MAGIC, n, height, width], dtype=">u4").tobytes()
+
+    def save(frames):
+        def rows():
+            for frame in frames:
+                x = np.array(frame["vec"].tolist(), dtype=np.uint8)
+                if len(x) and x.shape[1] != height * width:
+                    raise ValueError(f"an image has {height} x {width} pixels, not {x.shape[1]}")
+                yield len(x), x.tobytes()
+
+        yield pd.DataFrame({"n": [_encoded(path, None, head, rows())[1]]})
+
+    return images.select("id", "vec").orderBy("id").coalesce(1).mapInPandas(save, "n long").agg(F.sum("n")).first()[0]
+
+
 def read_parquet(spark: SparkSession, path: str, limit: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, vec) from a Parquet table; ``limit`` keeps ids below it."""
     rows = spark.read.parquet(path).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
