@@ -109,7 +109,8 @@ def search(spark: SparkSession, args: list[str]) -> int:
     if p.method is None:
         log.error("name a method: %s", " ".join(METHOD_FLAGS))
         return 1
-    log.info("%r", p)
+    for name, value in p.echo():
+        log.info("%s = %s", name, value)
     vectors = load_vectors(spark, p.data, p.kind, p.max_data).persist()
     if vectors.isEmpty():
         log.warning("%s holds no vectors", p.data)

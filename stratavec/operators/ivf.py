@@ -104,10 +104,6 @@ class IVFFlat(Index):
         """(cid, c)"""
         return spark_centres(self.vectors.sparkSession, self.coarse.centres)
 
-    def write(self, path: str) -> None:
-        """The lists on disk, one folder a list, so that probes prune partitions."""
-        self.rows.write.partitionBy("cid").parquet(path)
-
     def candidates(self, queries: DataFrame) -> DataFrame:
         probes = broadcast_if_small(self.coarse.probes(queries).select("qid", "cid"))
         return self.rows.join(probes, "cid").select("qid", "id", "vec")

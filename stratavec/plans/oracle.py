@@ -80,14 +80,34 @@ def kmeans(name: str, source: str, k: int, iters: int, draws: dict[int, list[flo
             f"{name}_m{i} AS MATERIALIZED (SELECT s.m, s.id, s.v, least(d2, pow(list_distance(s.v, c.v), 2)) AS d2 FROM {name}_m{i - 1} s JOIN {name}_c{i} c USING (m))",
         ]
     out.append(f"{name}_s AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT m, {i} AS i, id, v FROM {name}_c{i}" for i in range(k)) + ")")
-    out.append(f"{name}_g0 AS MATERIALIZED (SELECT m, i AS cid, v AS c FROM {name}_s)")
+    return [*out, *lloyd(name, source, iters)]
+
+
+def random_seeds(name: str, source: str, k: int, seed: int) -> str:
+    """{name}_s: the first rows of ``source`` in the seeded order of ids."""
+    p = permutation(seed)
+    return (f"{name}_s AS MATERIALIZED (SELECT m, row_number() OVER w - 1 AS i, id, v FROM {source} "
+            f"WINDOW w AS (ORDER BY ((id % {p.prime}) * {p.factor} + {p.shift}) % {p.prime}, id) QUALIFY i < {k})")
+
+
+def lloyd(name: str, source: str, iters: int, empty: str = "keep") -> list[str]:
+    """{name}_a{t} and {name}_g{t} from the seeds {name}_s. With ``farthest`` the empty clusters of a group
+    take, in their order, the rows farthest from their centres."""
+    out = [f"{name}_g0 AS MATERIALIZED (SELECT m, i AS cid, v AS c FROM {name}_s)"]
     for t in range(1, iters + 1):
         out += [
-            f"{name}_a{t} AS MATERIALIZED (SELECT m, id, any_value(v) AS v, min_by(cid, struct_pack(d := d, i := cid)) AS cid FROM "
+            f"{name}_a{t} AS MATERIALIZED (SELECT m, id, any_value(v) AS v, min_by(cid, struct_pack(d := d, i := cid)) AS cid, min(d) AS d FROM "
             f"(SELECT s.m, s.id, s.v, c.cid, list_distance(s.v, c.c) AS d FROM {source} s JOIN {name}_g{t - 1} c USING (m)) GROUP BY m, id)",
             f"{name}_n{t} AS (SELECT m, cid, list(x ORDER BY pos) AS c FROM (SELECT m, cid, pos, avg(x) AS x FROM "
             f"(SELECT m, cid, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {name}_a{t}) GROUP BY m, cid, pos) GROUP BY m, cid)",
-            f"{name}_g{t} AS MATERIALIZED (SELECT p.m, p.cid, coalesce(n.c, p.c) AS c FROM {name}_g{t - 1} p LEFT JOIN {name}_n{t} n USING (m, cid))",
+        ]
+        if empty == "keep":
+            out.append(f"{name}_g{t} AS MATERIALIZED (SELECT p.m, p.cid, coalesce(n.c, p.c) AS c FROM {name}_g{t - 1} p LEFT JOIN {name}_n{t} n USING (m, cid))")
+            continue
+        out += [
+            f"{name}_f{t} AS (SELECT m, v, row_number() OVER (PARTITION BY m ORDER BY d DESC, id) AS r FROM {name}_a{t})",
+            f"{name}_b{t} AS (SELECT p.m, p.cid, row_number() OVER (PARTITION BY p.m ORDER BY p.cid) AS r FROM {name}_g{t - 1} p ANTI JOIN {name}_n{t} n USING (m, cid))",
+            f"{name}_g{t} AS MATERIALIZED (SELECT m, cid, c FROM {name}_n{t} UNION ALL SELECT b.m, b.cid, f.v AS c FROM {name}_b{t} b JOIN {name}_f{t} f USING (m, r))",
         ]
     return out
 

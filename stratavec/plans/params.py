@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 
 def _need(ok: bool, message: str) -> None:
@@ -117,6 +117,13 @@ class SearchParams:
         _need(self.n >= 1, "N must be positive")
         _need(self.method in (None, "lsh", "hypercube", "ivfflat", "ivfpq"), "unknown method")
 
+    def echo(self) -> list[tuple[str, str]]:
+        """(name, value) of every parameter, those of the indexes as index.name."""
+        out = []
+        for name, value in asdict(self).items():
+            out += [(f"{name}.{k}", str(v)) for k, v in value.items()] if isinstance(value, dict) else [(name, str(value))]
+        return out
+
     @property
     def effective_radius(self) -> float:
         return RADIUS.get(self.kind, 2000.0) if self.radius is None else self.radius

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vec import residual, scaled
+from .cli import parse_search
 from .operators import evaluate, graph, search, summary
 from .operators.base import Index
 from .operators.cube import Hypercube
@@ -21,8 +22,9 @@ from .operators.pq import IVFPQ
 from .operators.silhouette import Silhouette
 from .plans import oracle as O
 from .plans.params import CubeParams, IvfParams, KMeansParams, LshParams, PqParams
-from .sources import reports
-from .sources.vectors import read_parquet
+from .plans.session import work_path
+from .sources import indexes, reports
+from .sources.vectors import load_vectors, read_fvecs, read_idx3, read_parquet, write_fvecs, write_idx3
 
 DIM = 64
 N = 5
@@ -35,6 +37,17 @@ KMEANS_P = KMeansParams(k=8, max_iters=3, tol=0.0, seed=1, empty="keep")
 IVF_P = IvfParams(clusters=8, nprobe=2, seed=1, max_iters=3, tol=0.0, empty="keep")
 PQ_P = PqParams(parts=4, bits=3, max_iters=3, tol=0.0, empty="keep")
 SWEEP_KS = [2, 5, 10]
+#: Settings that find at least nine in ten of the 5 nearest of near-random vectors.
+HIGH = {
+    "lsh": LshParams(tables=16, hashes=3, width=2.0, seed=1),
+    "cube": CubeParams(projections=6, width=2.0, max_candidates=1_000_000_000, max_probes=42, seed=1),
+    "ivf": IvfParams(clusters=8, nprobe=5, seed=1, max_iters=3, tol=0.0, empty="keep"),
+    "ivfpq": (IvfParams(clusters=8, nprobe=6, seed=1, max_iters=3, tol=0.0, empty="keep"), PqParams(parts=16, bits=3, max_iters=3, tol=0.0, empty="keep")),
+}
+RERANK = 200
+#: k-means on few distinct points, in which clusters run empty.
+EMPTY_P = KMeansParams(k=12, max_iters=2, tol=0.0, init="random", seed=3, empty="farthest")
+FLAGS = "-d base.fvecs -q query.fvecs -type sift -hypercube -kproj 10 -w 2 -M 50 -probes 4 -N 3 -R 1.5 -range true -maxq -1"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -286,13 +299,201 @@ def metrics_summary(spark, sf_dir):
     return rounded(summary.summarised(summary.parse_reports(_reports(spark, sf_dir))), *summary.METRICS.values())
 
 
+def metrics_table(spark, sf_dir):
+    """The summary written as CSV and read again."""
+    path = work_path(spark, "summary")
+    reports.write_table(summary.summarised(summary.parse_reports(_reports(spark, sf_dir))), path)
+    columns = ", ".join(f"{c} double" for c in summary.METRICS.values())
+    return rounded(spark.read.csv(path, header=True, schema=f"dataset string, method string, {columns}"), *summary.METRICS.values())
+
+
+def trade_off(spark, sf_dir):
+    return summary.trade_off(summary.parse_reports(_reports(spark, sf_dir)))
+
+
+def report_blocks_ivfpq(spark, sf_dir):
+    """Distances by table beside true ones, which differ."""
+    index, v, q = ivfpq(spark, sf_dir)
+    return reports.query_blocks(evaluate.with_true_distance(index.knn_query(q, N), v, q), q, index.range_search(q, RADIUS))
+
+
+def results_files(spark, sf_dir):
+    """Whole reports of three indexes written as files, read by a pattern and parsed."""
+    folder = work_path(spark, "results")
+    for name, file in (("lsh", "results_lsh_sift_false.txt"), ("cube", "results_hypercube_sift_false.txt"), ("ivf", "results_ivfflat_mnist_true.txt")):
+        index, v, q = BUILDERS[name](spark, sf_dir)
+        hits = evaluate.with_true_distance(index.knn_query(q, N), v, q)
+        timed = measured(index, v, q).select("avg_af", "recall_at_n", F.lit(1.0).alias("qps"), F.lit(0.0).alias("t_approx_ms"), F.lit(0.0).alias("t_true_ms"))
+        reports.write_report(f"{folder}/{file}", name, reports.query_blocks(hits, q), timed)
+    return summary.parse_reports(reports.read_reports(spark, f"{folder}/*"))
+
+
+def sweep_files(spark, sf_dir):
+    folder = work_path(spark, "sweeps")
+    scores = sweep(data(spark, sf_dir), SWEEP_KS[:2], KMEANS_P)
+    reports.write_sweep(spark.createDataFrame(scores, "k int, silhouette double"), f"{folder}/silhouette_results_sift.txt")
+    return long(rounded(reports.read_sweeps(spark, f"{folder}/*"), "silhouette"), "k")
+
+
+def timed_run(spark, sf_dir):
+    """The harness over an index; of its times only whether they were taken."""
+    index, v, q = ivf(spark, sf_dir)
+    run = evaluate.run_queries(index, v, q, N, RADIUS, "ivf", "embeddings", exclude_self=True)
+    m = rounded(run.metrics, "avg_af", "recall_at_n")
+    taken = [(F.col(c) > 0).alias(c) for c in ("qps", "t_approx_ms", "t_true_ms")]
+    return m.select("method", "dataset", "range_search", "avg_af", "n_found", "recall_at_n", *taken)
+
+
+def parameter_echo(spark, sf_dir):
+    return spark.createDataFrame(parse_search(FLAGS.split()).echo(), "name string, value string")
+
+
+# ---------------------------------------------------------------- files of vectors
+
+def fvecs_scan(spark, sf_dir):
+    path = work_path(spark, "fvecs")
+    write_fvecs(data(spark, sf_dir), path)
+    rows = read_fvecs(spark, path, None, DIM).select("id", F.posexplode("vec").alias("pos", "value"))
+    return long(rounded(rows.withColumn("value", F.col("value").cast("double")), "value"), "pos")
+
+
+def pixels(spark, sf_dir) -> DataFrame:
+    """The vectors as images of 8 x 8 pixels."""
+    return data(spark, sf_dir).select("id", F.transform("vec", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int")).alias("vec"))
+
+
+def idx3_scan(spark, sf_dir):
+    path = work_path(spark, "idx3")
+    write_idx3(pixels(spark, sf_dir), path, 8, 8)
+    return long(read_idx3(spark, path, None).select("id", F.posexplode("vec").alias("pos", "pixel")), "pos", "pixel")
+
+
+def idx3_first_rows(spark, sf_dir):
+    """The first 100 images only, with pixels from 0 to 1."""
+    path = work_path(spark, "idx3")
+    write_idx3(pixels(spark, sf_dir), path, 8, 8)
+    rows = read_idx3(spark, path, 100, normalise=True).select("id", F.posexplode("vec").alias("pos", "value"))
+    return long(rounded(rows.withColumn("value", F.col("value").cast("double")), "value"), "pos")
+
+
+def dataset_kinds(spark, sf_dir):
+    """Files of three kinds, told apart by their names: rows, dimensions, and rows under a limit of 50."""
+    v = data(spark, sf_dir)
+    folder = work_path(spark, "kinds")
+    write_fvecs(v, f"{folder}/base.fvecs")
+    write_idx3(pixels(spark, sf_dir), f"{folder}/images.idx3", 8, 8)
+    out = None
+    for kind, path, options in (("fvecs", f"{folder}/base.fvecs", {"dim": DIM}), ("idx3", f"{folder}/images.idx3", {}), ("parquet", f"{sf_dir}/embeddings.parquet", {})):
+        every, some = (load_vectors(spark, path, limit=limit, **options).select(F.size("vec").alias("dim")) for limit in (None, 50))
+        rows = every.agg(F.count(F.lit(1)).alias("n"), F.max("dim").cast("long").alias("dim")).crossJoin(F.broadcast(some.agg(F.count(F.lit(1)).alias("n_limited"))))  # one row each
+        rows = rows.select(F.lit(kind).alias("kind"), "n", "dim", "n_limited")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# ---------------------------------------------------------------- further searches and clusterings
+
+def lsh_query(spark, sf_dir):
+    index, _, q = lsh(spark, sf_dir)
+    return index.query(q, N)
+
+
+def clear_index(spark, sf_dir):
+    """Entries of an index that is built, cleared, and built again from other draws."""
+    index, v, _ = lsh(spark, sf_dir)
+    steps = [("built", index.persist().entries().count())]
+    index.clear_index()
+    steps.append(("cleared", 0 if index.rows is None else index.entries().count()))
+    steps.append(("built again", index.build_index(v).entries().count()))
+    return spark.createDataFrame(steps, "step string, entries long")
+
+
+def stored(name: str) -> Query:
+    """The index written, read and searched."""
+
+    def run(spark, sf_dir):
+        index, _, q = BUILDERS[name](spark, sf_dir)
+        path = work_path(spark, f"index-{name}")
+        indexes.write_index(index, path)
+        return rounded(indexes.read_index(spark, path).knn_query(q, N), "dist")
+
+    return run
+
+
+def high_index(name: str, v: DataFrame) -> Index:
+    """An index at the settings of high recall."""
+    p = HIGH[name]
+    if name == "lsh":
+        return LSH(DIM, p).build_index(v)
+    if name == "cube":
+        return Hypercube(DIM, p).build_index(v)
+    return IVFFlat(p).build_index(v) if name == "ivf" else IVFPQ(*p).build_index(v)
+
+
+def high_answers(name: str, index: Index, q: DataFrame) -> DataFrame:
+    return index.knn_query(q, N, True, RERANK) if name == "ivfpq" else index.knn_query(q, N, True)
+
+
+def high_recall(name: str) -> Query:
+    """Measures at the settings of high recall."""
+
+    def run(spark, sf_dir):
+        v = data(spark, sf_dir)
+        q = asked(v)
+        truth = search.exact_knn(v, q, N, exclude_self=True)
+        found = high_answers(name, high_index(name, v), q)
+        return rounded(evaluate.quality(evaluate.per_query(found, truth, q, N)), "avg_af", "af_found", "recall_at_n")
+
+    return run
+
+
+def kmeans_distributed(spark, sf_dir):
+    """kmeans_lloyd by one job an iteration, whatever the number of rows."""
+    means = KMeans(KMEANS_P, local_rows=0)
+    means.fit(data(spark, sf_dir))
+    return _centre_rows(spark, means)
+
+
+def _centre_rows(spark, means: KMeans) -> DataFrame:
+    rows = [(i, j, float(x)) for i, c in enumerate(means.centroids()) for j, x in enumerate(c)]
+    return rounded(spark.createDataFrame(rows, "cid long, pos long, value double"), "value")
+
+
+def kmeans_random_init(spark, sf_dir):
+    v = data(spark, sf_dir)
+    seeds = KMeans(KMeansParams(k=KMEANS_P.k, init="random", seed=KMEANS_P.seed)).seeds_distributed(v, v.count())
+    return rounded(spark.createDataFrame([(i, j, float(x)) for i, c in enumerate(seeds) for j, x in enumerate(c)], "cid long, pos long, value double"), "value")
+
+
+def kmeans_empty(spark, sf_dir):
+    """Clusters that run empty take the farthest rows: in one task and in many."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    v = part.select(F.col("p_partkey").cast("long").alias("id"), F.array((F.col("p_size") % 5).cast("double"), (F.col("p_partkey") % 2).cast("double")).alias("vec"))
+    out = None
+    for way, rows in (("one task", 1 << 40), ("many tasks", 0)):
+        means = KMeans(EMPTY_P, local_rows=rows)
+        means.fit(v)
+        found = _centre_rows(spark, means).withColumn("way", F.lit(way))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def kmeans_predict(spark, sf_dir):
+    means, v = fitted(spark, sf_dir)
+    return long(means.predict(v), "cid")
+
+
 def queries() -> dict[str, Query]:
     plain = [exact_knn, exact_range, exact_knn_part, distances, scaled_vectors, lsh_hashes, lsh_ids, lsh_buckets, cube_vertices,
              kmeans_pp_init, kmeans_lloyd, kmeans_assign, residuals, silhouette_points, silhouette_clusters, silhouette_mean,
-             best_k_sweep, auto_k, ivf_build, pq_codebooks, pq_encode, pq_lut, pq_adc, knn_graph_csv, report_blocks, results_parse, metrics_summary]
+             best_k_sweep, auto_k, ivf_build, pq_codebooks, pq_encode, pq_lut, pq_adc, knn_graph_csv, report_blocks, results_parse, metrics_summary,
+             metrics_table, trade_off, report_blocks_ivfpq, results_files, sweep_files, timed_run, parameter_echo, fvecs_scan, idx3_scan, idx3_first_rows,
+             dataset_kinds, lsh_query, clear_index, kmeans_distributed, kmeans_random_init, kmeans_empty, kmeans_predict]
     out = {f.__name__: f for f in plain}
     for name in BUILDERS:
         out.update(searches(name))
+        out[f"stored_{name}_knn"] = stored(name)
+        out[f"high_recall_{name}"] = high_recall(name)
     return out
 
 
@@ -356,6 +557,62 @@ def oracle_sql() -> dict[str, str]:
     for name, c, table, *_ in runs:
         ctes += [*c, *O.scored(table, N, f"e_{name}")]
     parsed = " UNION ALL ".join(f"SELECT '{m}' AS method, '{d}' AS dataset, '{r}' AS range_search, round(avg_af, 6) AS avg_af, round(recall_at_n, 6) AS recall_at_n, 1.0::DOUBLE AS qps, 0.0::DOUBLE AS t_approx_ms, 0.0::DOUBLE AS t_true_ms FROM e_{name}" for name, _, _, m, d, r in runs)
-    out["results_parse"] = O.query(ctes, parsed)
+    out["results_parse"] = out["results_files"] = O.query(ctes, parsed)
+    out["trade_off"] = O.query([*ctes, f"p AS ({parsed})"], "SELECT method, dataset, qps, avg_af FROM p")
     out["metrics_summary"] = O.query([*ctes, f"p AS ({parsed})"], "SELECT dataset, method, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in summary.METRICS.values()) + " FROM p GROUP BY dataset, method")
+    out["metrics_table"] = out["metrics_summary"]
+    out |= further_sql(lsh_c, ivf_c, pq_c, k_c, near)
+    for name in BUILDERS:
+        out[f"stored_{name}_knn"] = out[f"{name}_knn"]
+    return out
+
+
+def further_sql(lsh_c: list[str], ivf_c: list[str], pq_c: list[str], k_c: list[str], near: str) -> dict[str, str]:
+    t = KMEANS_P.max_iters
+    places = "unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos"
+    pixel = "floor((x + 1) * 127.5)"
+    out = {
+        "report_blocks_ivfpq": O.query([*pq_c, f"rk AS (SELECT qid, id, d, list_distance(qv, v) AS td, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM pd JOIN q USING (qid) JOIN v USING (id) QUALIFY rank <= {N})",
+                                        "rl AS (SELECT qid, string_agg(printf('Nearest neighbor-%d: %d' || chr(10) || 'distanceApproximate: %.6f' || chr(10) || 'distanceTrue: %.6f' || chr(10), rank, id, d, td), '' ORDER BY rank) AS t FROM rk GROUP BY qid)",
+                                        f"rr AS (SELECT qid, string_agg(id::VARCHAR || chr(10), '' ORDER BY id) AS t FROM pd WHERE d <= {O.number(RADIUS)} GROUP BY qid)"],
+                                       "SELECT qid, 'Query: ' || qid || chr(10) || coalesce(rl.t, '') || 'R-near neighbors:' || chr(10) || coalesce(rr.t, '') || chr(10) AS text FROM q LEFT JOIN rl USING (qid) LEFT JOIN rr USING (qid)"),
+        "timed_run": O.query([*ivf_c, *O.truth(N), *O.scored("fd", N)], "SELECT 'ivf' AS method, 'embeddings' AS dataset, true AS range_search, round(avg_af, 6) AS avg_af, n_found, round(recall_at_n, 6) AS recall_at_n, true AS qps, true AS t_approx_ms, true AS t_true_ms FROM e"),
+        "parameter_echo": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}')" for n, v in ECHO.items()) + ") AS t(name, value)",
+        "fvecs_scan": O.query([], f"SELECT id, pos, round(x, 6) AS value FROM (SELECT id, {places} FROM v)"),
+        "idx3_scan": O.query([], f"SELECT id, pos, {pixel}::BIGINT AS pixel FROM (SELECT id, {places} FROM v)"),
+        "idx3_first_rows": O.query([], f"SELECT id, pos, round(({pixel} / 255)::FLOAT::DOUBLE, 6) AS value FROM (SELECT id, {places} FROM v) WHERE id < 100"),
+        "dataset_kinds": O.query([], "SELECT kind, n, dim, least(n, 50) AS n_limited FROM (SELECT count(*) AS n, max(len(v)) AS dim FROM v), (VALUES ('fvecs'), ('idx3'), ('parquet')) AS t(kind)"),
+        "lsh_query": O.query([*lsh_c, f"r AS ({O.ranked('ld', N)})"], "SELECT qid, rank, id FROM r"),
+        "clear_index": O.query([], f"SELECT step, (CASE step WHEN 'cleared' THEN 0 ELSE {LSH_P.tables} * (SELECT count(*) FROM v) END)::BIGINT AS entries FROM (VALUES ('built'), ('cleared'), ('built again')) AS t(step)"),
+        "kmeans_distributed": O.query(k_c, f"SELECT cid::BIGINT AS cid, pos::BIGINT AS pos, round(x, 6) AS value FROM (SELECT cid, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM k_g{t})"),
+        "kmeans_random_init": O.query(["z AS (SELECT 0 AS m, id, v FROM v)", O.random_seeds("r", "z", KMEANS_P.k, KMEANS_P.seed)], f"SELECT i::BIGINT AS cid, pos::BIGINT AS pos, round(x, 6) AS value FROM (SELECT i, {places} FROM r_s)"),
+        "kmeans_predict": O.query([*k_c, near], "SELECT id, cid::BIGINT AS cid FROM k_near"),
+        "kmeans_empty": "WITH " + ",\n".join(["z AS (SELECT 0 AS m, p_partkey::BIGINT AS id, [(p_size % 5)::DOUBLE, (p_partkey % 2)::DOUBLE] AS v FROM part)",
+                                              O.random_seeds("r", "z", EMPTY_P.k, EMPTY_P.seed), *O.lloyd("r", "z", EMPTY_P.max_iters, "farthest")])
+                        + f" SELECT cid::BIGINT AS cid, pos::BIGINT AS pos, round(x, 6) AS value, way FROM (SELECT cid, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM r_g{EMPTY_P.max_iters}), (VALUES ('one task'), ('many tasks')) AS t(way)",
+    }
+    per_k = []
+    for k in SWEEP_KS[:2]:
+        p = KMeansParams(k, KMEANS_P.max_iters, 0.0, seed=KMEANS_P.seed, empty="keep")
+        per_k += [*O.whole_kmeans(p, f"k{k}"), *O.silhouette(f"s{k}", f"k{k}_a{p.max_iters}")]
+    out["sweep_files"] = O.query(per_k, " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, (SELECT round(avg(s), 6) FROM s{k}_p) AS silhouette, 'sift' AS type" for k in SWEEP_KS[:2]))
+    high = {
+        "lsh": (O.lsh(HIGH["lsh"], DIM), "ld"), "cube": (O.cube(HIGH["cube"], DIM), "cd"), "ivf": (O.ivf(HIGH["ivf"]), "fd"),
+        "ivfpq": ([*O.ivfpq(*HIGH["ivfpq"], DIM),
+                   f"ps2 AS (SELECT qid, id FROM pd WHERE id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) <= {RERANK})",
+                   "px2 AS MATERIALIZED (SELECT qid, ps2.id, list_distance(qv, v) AS d FROM ps2 JOIN q USING (qid) JOIN v ON v.id = ps2.id)"], "px2"),
+    }
+    for name, (ctes, table) in high.items():
+        out[f"high_recall_{name}"] = O.query([*ctes, *O.truth(N), *O.scored(table, N)], "SELECT round(avg_af, 6) AS avg_af, round(af_found, 6) AS af_found, n_found, round(recall_at_n, 6) AS recall_at_n FROM e")
     return out
+
+
+#: What FLAGS are parsed to, written apart from the parser.
+ECHO = {
+    "data": "base.fvecs", "queries": "query.fvecs", "output": "results.txt", "kind": "sift", "method": "hypercube", "n": "3", "radius": "1.5", "do_range": "True",
+    "graph": "False", "max_data": "10000", "max_queries": "None",
+    "lsh.tables": "5", "lsh.hashes": "4", "lsh.width": "2.0", "lsh.seed": "1",
+    "cube.projections": "10", "cube.width": "2.0", "cube.max_candidates": "50", "cube.max_probes": "4", "cube.seed": "1",
+    "ivf.clusters": "50", "ivf.nprobe": "5", "ivf.seed": "1", "ivf.max_iters": "100", "ivf.tol": "0.0001", "ivf.empty": "farthest",
+    "pq.parts": "50", "pq.bits": "8", "pq.seed": "1337", "pq.max_iters": "100", "pq.tol": "0.0001", "pq.sample": "20000", "pq.empty": "farthest",
+}

@@ -46,8 +46,10 @@ def write_report(path: str, title: str, blocks: DataFrame, metrics: DataFrame) -
 
 
 def read_reports(spark: SparkSession, glob: str) -> DataFrame:
-    """(name, text) of whole report files."""
-    return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    """(name, text) of whole report files; a report that was written as a folder has the folder's name."""
+    path = F.col("_metadata.file_path")
+    name = F.regexp_extract(F.regexp_replace(path, r"/part-[^/]*$", ""), r"([^/]+)$", 1)
+    return spark.read.text(glob, wholetext=True).select(name.alias("name"), F.col("value").alias("text"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

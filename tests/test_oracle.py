@@ -25,6 +25,11 @@ def test_every_query_has_an_oracle():
     assert sorted(q.oracle_sql()) == NAMES
 
 
+@pytest.mark.parametrize("name", sorted(q.BUILDERS))
+def test_settings_of_high_recall(spark, small, name):
+    assert q.high_recall(name)(spark, small).first()["recall_at_n"] >= 0.9
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, small, con, name):
     ours = canonical(q.queries()[name](spark, small).toPandas())
