@@ -254,3 +254,66 @@ def test_command_line(spark, tmp_path, caplog):
     graph = str(tmp_path / "graph.csv")
     assert cli.search(spark, ["-d", str(f), "-type", "sift", "-o", graph, "-ivfflat", "-kclusters", "4", "-knngraph"]) == 0
     assert spark.read.text(graph).count() == 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("init", ["k-means++", "random"])
+@pytest.mark.parametrize("points, k", [([i % 5 for i in range(150)], 7), ([i % 5 for i in range(150)], 8), ([i * i for i in range(30)] + [0] * 30, 12)])
+def test_kmeans_ways_agree_on_empty_clusters(spark, points, k, init, seed):
+    """More clusters than distinct rows and many copies, by the default rule: the farthest rows."""
+    df = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate(points)], "id long, vec array<double>")
+    found = []
+    for rows in (20_000, 0):
+        means = KMeans(KMeansParams(k=k, init=init, seed=seed, max_iters=4), local_rows=rows)
+        means.fit(df)
+        found.append((means.centroids().tolist(), sorted(map(tuple, means.labels().collect()))))
+    assert found[0] == found[1]
+
+
+def test_stored_indexes_answer_as_built_ones(data, asked, spark, tmp_path):
+    from stratavec.sources.indexes import read_index, write_index
+
+    built = {**indexes(data), "ivfpq": IVFPQ(IvfParams(4, 2), PqParams(3, 3)).build_index(data)}
+    for name, index in built.items():
+        write_index(index, f"{tmp_path}/{name}")
+        read = read_index(spark, f"{tmp_path}/{name}")
+        assert type(read) is type(index) and read.params == index.params
+        for ask in (lambda i: i.knn_query(asked, 5), lambda i: i.range_search(asked, 2.5), lambda i: i.nn_query(asked, 0.1), lambda i: i.query_candidates(asked)):
+            assert sorted(map(tuple, ask(read).collect())) == sorted(map(tuple, ask(index).collect())), name
+
+
+def test_reranked_codes_give_exact_distances(data, asked):
+    index = IVFPQ(IvfParams(4, 4), PqParams(3, 3)).build_index(data)
+    exact = search.exact_knn(data, asked, 5).select("qid", "rank", "id").collect()
+    assert sorted(index.knn_query(asked, 5, rerank=120).select("qid", "rank", "id").collect()) == sorted(exact)
+
+
+def test_lists_are_cut_into_shards(data, asked, monkeypatch):
+    from stratavec.functions import blocks
+
+    index = IVFFlat(IvfParams(3, 2)).build_index(data)
+    want = sorted(map(tuple, index.knn_query(asked, 4).collect()))
+    monkeypatch.setattr(blocks, "SMALL_BLOCKS", 0)
+    monkeypatch.setattr(blocks, "TASK_PAIRS", 1)
+    assert sorted(map(tuple, index.knn_query(asked, 4).collect())) == want
+
+
+def test_lanes_follow_from_counts():
+    from stratavec.functions.blocks import TASK_PAIRS, grid
+
+    for d, q in ((1, 1), (8, 8), (1000, 40), (100_000, 5_000), (3, 10_000)):
+        x, y = grid(d, q)
+        assert 1 <= x <= d and 1 <= y <= q and d * q / (x * y) <= 2 * TASK_PAIRS
+
+
+def test_what_is_small_counts_bytes(spark):
+    from stratavec.plans.sizes import is_small
+
+    wide = spark.createDataFrame([(i, [[0.0] * 50] * 20) for i in range(10)], "id long, lut array<array<double>>")
+    assert is_small(wide) and not is_small(wide, rows=9) and not is_small(wide, size=10 * 8 * 1001 - 1) and is_small(wide, size=10 * 8 * 1001)
+
+
+def test_query_cap_is_a_flag():
+    assert cli.parse_search(["-lsh"]).max_queries == 100
+    assert cli.parse_search(["-lsh", "-maxq", "-1"]).max_queries is None
+    assert cli.parse_search(["-lsh", "-maxq", "250"]).max_queries == 250
