@@ -113,3 +113,68 @@ def test_ranks_and_distance_against_plain_code(documents):
     distance = {k: sum(abs(p.index(g) - i) if g in p else 4 for i, g in enumerate(own)) for k, p in profiles.items()}
     best = min(sorted(distance), key=distance.get)
     assert r["lang_pred"] == best and abs(r["score"] - (1 - distance[best] / (4 * len(own)))) < 1e-12
+
+
+def plain_grams(text, bits):
+    import re
+    import zlib
+
+    h = [zlib.crc32(w.encode("utf-8", "replace")) for w in re.findall(r"[^\W_]+", (text or "").lower())]
+    mask, mix, step = 2**64 - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    out = [x * mix & mask for x in h]
+    out += [((a * step + b + 1) & mask) * mix & mask for a, b in zip(h, h[1:])]
+    out += [((a * step + b + 2) & mask) * mix & mask for a, b in zip(h, h[2:])]
+    return sorted({x >> (64 - bits) for x in out})
+
+
+def plain_ftrl(examples, s):
+    """Coordinate by coordinate, in dictionaries."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        l1 = 0.0 if i == "b" else s.l1
+        l2 = 0.0 if i == "b" else s.l2
+        beta = s.beta
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / s.alpha + l2)
+
+    for _ in range(s.epochs):
+        for at, label in examples:
+            w = {i: weight(i) for i in [*at, "b"]}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values())))))
+            g = p - label
+            for i, wi in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i) != 0.0}
+
+
+def test_toxicity_scores_against_plain_ftrl(spark):
+    import math
+    import random
+    import zlib
+
+    from stratavec.llm.toxicity import FtrlSettings, toxicity
+
+    rng = random.Random(6)
+    s = FtrlSettings(bits=12, l1=0.5)
+    words = [f"w{i}" for i in range(30)] + ["é", "Vile", "vile_x"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25))) + (" you vile thing" if i % 5 == 0 else "")) for i in range(240)]
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 240, 2)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, label string")
+    got = {r["doc_id"]: r for r in toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), s).collect()}
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    texts = dict(rows)
+    known = sorted((i for i, _ in labels if fold(i) != 2), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    model = plain_ftrl([(plain_grams(texts[i], s.bits), dict(labels)[i]) for i in known], s)
+    assert len(model) > 5
+    for i, text in rows:
+        margin = sum(model.get(g, 0.0) for g in plain_grams(text, s.bits)) + model.get("b", 0.0)
+        want = 1 / (1 + math.exp(-margin))
+        assert abs(got[i]["score"] - want) < 1e-9 and got[i]["held_out"] == (fold(i) == 2) and got[i]["predicted"] == int(want >= 0.3)

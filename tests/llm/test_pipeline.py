@@ -30,7 +30,7 @@ def test_stages_keep_columns_and_clean_documents(spark, small):
 
 
 def test_stages_with_nulls_and_no_rows(spark, small, odd):
-    docs = odd.drop("body")
+    docs = odd.withColumns({c: odd["body"] for c in ("row", "id", "word", "group", "rest", "window", "n", "sha", "kept", "whole")})
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0
         out = stage(spark, docs, small)
@@ -47,6 +47,60 @@ def test_near_copies_from_similarity_0_8_go(spark, small, documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 20, 31]  # 0.811 goes, 0.794 stays
 
 
+def test_run_keeps_what_plain_code_keeps(spark, small, tmp_path):
+    """run() end to end against brute force: the toxicity stage's own result, then exact and near
+    groups over all pairs, spans cut by plain patterns, and pieces that cover the library's ids."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    from stratavec.llm.tokenizer import public_path
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.toxicity(spark, docs, small).collect()}
+    by_text, left = {}, []
+    for i in sorted(clean):
+        body = re.sub(r"[\x20\x09-\x0D]+", " ", clean[i] or "")
+        if by_text.setdefault(body, i) == i:
+            left.append(i)
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        return {tuple(w[j:j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, root = {i: shingles(clean[i]) for i in left}, {i: i for i in left}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(left):
+        for j in left[:n]:
+            a, b = sets[i], sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    kept = {i for i in left if find(i) == i}
+
+    pieces = {}
+    for r in corpus_pipeline.run(spark, small).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert set(pieces) == kept
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs.where(docs["doc_id"].isin(sorted(kept)))
+    tokenizer = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    plain = 0
+    for r in stages["pii"](spark, rows, small).collect():
+        size = len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        parts = sorted(pieces[r["doc_id"]])
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:n]) for n in range(len(parts))]
+        if r["text"] == clean[r["doc_id"]]:  # texts without personal data: thresholds may differ by table
+            plain += 1
+            assert sum(p[1] for p in parts) == parts[0][2] == size
+    assert plain > 0.8 * len(kept)
+
+
 def test_registered():
     assert sorted(q.queries()) == sorted(["op1_pii", "op2_toxicity", "op3_exact_dedup", "op4_near_dedup", "op5_license_scan", "op6_language_id", "op7_token_count", "op8_top_k_search", "op9_bpe_round_trip", "op10_packing"])
 
