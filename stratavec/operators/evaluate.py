@@ -56,8 +56,9 @@ class Run:
     metrics: DataFrame
 
 
-def run_queries(index: Index, vectors: DataFrame, queries: DataFrame, n: int = 1, radius: float | None = None, method: str = "", dataset: str = "", exclude_self: bool = False) -> Run:
-    """Ground truth once, then the index's answers, their measures and times.
+def run_queries(index: Index, vectors: DataFrame, queries: DataFrame, n: int = 1, radius: float | None = None, method: str = "", dataset: str = "", exclude_self: bool = False, **options) -> Run:
+    """Ground truth once, then the index's answers, their measures and times; ``options`` go to the
+    search for neighbours.
 
     Times are of whole batches divided by the number of queries: a single query's latency in Spark
     is a job's. qps covers the neighbours and the range search, not the ground truth or the build.
@@ -69,7 +70,7 @@ def run_queries(index: Index, vectors: DataFrame, queries: DataFrame, n: int = 1
     truth.count()
     true_s = time.perf_counter() - began
     began = time.perf_counter()
-    found = index.knn_query(queries, n, exclude_self).persist()
+    found = index.knn_query(queries, n, exclude_self, **options).persist()
     found.count()
     approx_s = time.perf_counter() - began
     ranges = None

@@ -84,9 +84,15 @@ class LSH(Index):
         return self.entries().join(probes, ["tbl", "hid"]).select("qid", "id").distinct()
 
     def candidates(self, queries: DataFrame) -> DataFrame:
-        """(qid, id, vec) of the pairs: a vector is shuffled once, however many tables find it."""
-        pairs = self.query_candidates(queries)
-        if is_small(queries):  # few pairs a row: they go to the vectors, which stay where they are
-            listed = F.broadcast(pairs) if is_small(pairs) else pairs
-            return self.vectors.select("id", "vec").join(listed, "id").select("qid", "id", "vec")
+        """(qid, id, vec) of the pairs. Small probes are broadcast to the vectors, which stay where
+        they are, and a pair comes once a table; beyond that identifiers meet first, and a vector is
+        shuffled once, however many tables find it."""
+        if not self.dim:
+            return queries.select("qid").limit(0).crossJoin(self.vectors.select("id", "vec"))
+        asked = self.identified(queries.select("qid", "qvec"), "qid", "qvec", self.engine)
+        probes = asked.select("qid", F.posexplode("hids").alias("tbl", "hid"))
+        if is_small(probes):
+            entries = self.rows.select("id", "vec", F.posexplode("hids").alias("tbl", "hid"))
+            return entries.join(F.broadcast(probes), ["tbl", "hid"]).select("qid", "id", "vec")
+        pairs = self.entries().join(probes, ["tbl", "hid"]).select("qid", "id").distinct()
         return pairs.join(self.vectors.select("id", "vec"), "id").select("qid", "id", "vec")

@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import cells, packed
 from ..functions.kernels import exact_distances
+from .kmeans import sampled
 
 
 class Silhouette:
-    """singleton_zero: score a cluster's only row 0, as textbooks do, in place of 1."""
+    """singleton_zero: score a cluster's only row 0, as textbooks do, in place of 1.
 
-    def __init__(self, singleton_zero: bool = False):
-        self.singleton_zero = singleton_zero
+    Scores of all rows need the distances of all pairs, which no plan avoids. ``sample`` scores so
+    many rows only, chosen by the seeded order of ids, each by its distances to all rows: the work
+    then grows in proportion to the rows.
+    """
+
+    def __init__(self, singleton_zero: bool = False, sample: int | None = None, seed: int = 1):
+        self.singleton_zero, self.sample, self.seed = singleton_zero, sample, seed
 
     def sums(self, vectors: DataFrame, labels: DataFrame) -> DataFrame:
         """(id, cid, other, n, total): for each row and cluster the number of the cluster's other
@@ -27,6 +33,7 @@ class Silhouette:
         # The label travels as a leading component of the vector, so that blocks stay matrices.
         marked = vectors.select("id", "vec").join(labels, "id").select("id", F.concat(F.array(F.col("cid").cast("double")), F.col("vec").cast("array<double>")).alias("vec"))
         blocks = packed(marked, "id", "vec").persist()
+        scored = blocks if self.sample is None else packed(sampled(marked, self.sample, self.seed), "id", "vec")
 
         def work(q_ids, q, ids, x):
             dist = exact_distances(q[:, 1:], x[:, 1:])
@@ -39,7 +46,7 @@ class Silhouette:
                 for i in range(len(q)):
                     yield int(q_ids[i]), int(q[i, 0]), c, count - int(same[i]), float(total[i])
 
-        parts = cells(blocks, blocks, "id long, cid int, other int, n long, total double", work)
+        parts = cells(blocks, scored, "id long, cid int, other int, n long, total double", work)
         return parts.groupBy("id", "cid", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
     def compute_per_point(self, vectors: DataFrame, labels: DataFrame) -> DataFrame:

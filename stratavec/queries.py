@@ -41,8 +41,8 @@ SWEEP_KS = [2, 5, 10]
 HIGH = {
     "lsh": LshParams(tables=16, hashes=3, width=2.0, seed=1),
     "cube": CubeParams(projections=6, width=2.0, max_candidates=1_000_000_000, max_probes=42, seed=1),
-    "ivf": IvfParams(clusters=8, nprobe=5, seed=1, max_iters=3, tol=0.0, empty="keep"),
-    "ivfpq": (IvfParams(clusters=8, nprobe=6, seed=1, max_iters=3, tol=0.0, empty="keep"), PqParams(parts=16, bits=3, max_iters=3, tol=0.0, empty="keep")),
+    "ivf": IvfParams(clusters=8, nprobe=6, seed=1, max_iters=3, tol=0.0, empty="keep"),
+    "ivfpq": (IvfParams(clusters=8, nprobe=7, seed=1, max_iters=3, tol=0.0, empty="keep"), PqParams(parts=32, bits=3, max_iters=3, tol=0.0, empty="keep")),
 }
 RERANK = 200
 #: k-means on few distinct points, in which clusters run empty.

@@ -317,3 +317,19 @@ def test_query_cap_is_a_flag():
     assert cli.parse_search(["-lsh"]).max_queries == 100
     assert cli.parse_search(["-lsh", "-maxq", "-1"]).max_queries is None
     assert cli.parse_search(["-lsh", "-maxq", "250"]).max_queries == 250
+
+
+def test_sampled_silhouette_scores_rows_as_the_whole_one(data):
+    labels = data.selectExpr("id", "cast(id div 40 as int) AS cid")
+    whole = {r["id"]: r["s"] for r in Silhouette().compute_per_point(data, labels).collect()}
+    some = {r["id"]: r["s"] for r in Silhouette(sample=25).compute_per_point(data, labels).collect()}
+    assert len(some) == 25 and all(abs(whole[i] - s) < 1e-12 for i, s in some.items())
+
+
+def test_lsh_beyond_the_broadcast_finds_the_same(data, asked, monkeypatch):
+    from stratavec.operators import lsh
+
+    index = LSH(params=LshParams(3, 2, 4.0)).build_index(data)
+    want = sorted(map(tuple, index.knn_query(asked, 5).collect()))
+    monkeypatch.setattr(lsh, "is_small", lambda df: False)
+    assert sorted(map(tuple, index.knn_query(asked, 5).collect())) == want
