@@ -9,7 +9,8 @@
    are listed under their ``coords - matches + 1`` rarest values only, counting the skipped ones,
    since two classes that agree in ``matches`` coordinates must share one of those (prefix filter).
    Values of passages that many texts share are frequent, hence outside nearly all prefixes.
-4. In each posting list collisions are counted on the whole signatures, and only a spanning forest
+4. In each posting list collisions are counted by merging its members' lists of values; the longest
+   ``matches - 1`` are skipped and looked up for members met in the others only. A spanning forest
    of the candidate pairs is emitted, never all of them. Its components are closed under "is a
    candidate", so links never cross them.
 5. In each component the links are found on the full shingle sets, again as a spanning forest; the
@@ -167,34 +168,82 @@ def stars(ids: list[bytes], near: Callable[[int, np.ndarray], np.ndarray]) -> It
             yield other, members[0]
 
 
+class Postings:
+    """Inverted lists of the codes that members hold (``flat``: their codes one after another,
+    ``sizes`` a member), over the members that are not reached yet."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.own = np.split(flat, np.cumsum(sizes)[:-1])
+        self.sizes, self.codes, self.n = sizes, int(flat.max()) + 1, -1
+
+    def over(self, others: np.ndarray) -> None:
+        """List ``others`` (sorted), unless at least half of those that are listed are among them."""
+        if 0 <= self.n <= len(others) * 2:
+            return
+        flat = np.concatenate([self.own[i] for i in others])
+        place = np.repeat(np.arange(len(others)), self.sizes[others])
+        order = np.argsort(flat, kind="stable")
+        self.n, self.of, self.place = len(others), others, place[order]
+        self.starts = np.searchsorted(flat[order], np.arange(self.codes + 1))
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        return self.starts[codes + 1] - self.starts[codes]
+
+    def merged(self, codes: np.ndarray) -> np.ndarray:
+        """How many of the lists of ``codes`` hold each listed member."""
+        starts, lengths = self.starts[codes], self.lengths(codes)
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        return np.bincount(self.place[at], minlength=self.n)
+
+    def among(self, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """``counts`` of the members ``others``, a sorted part of what is listed."""
+        return counts[np.searchsorted(self.of, others)]
+
+
 def signature_forest(ids: list[bytes], signatures: list[bytes], matches: int) -> Iterator[tuple[bytes, bytes]]:
+    """A spanning forest of the pairs that collide in ``matches`` coordinates or more.
+
+    A member's collisions are counted by merging the lists of its values. Its ``matches - 1`` longest
+    lists are skipped: a partner is in one of the others. Only for members met there are the skipped
+    ones looked up.
+    """
     s = np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(len(ids), -1)
-    yield from stars(ids, lambda x, others: (s[others] == s[x]).sum(axis=1) >= matches)
+    if len(ids) == 2:  # two members, one merge
+        if (s[0] == s[1]).sum() >= matches:
+            yield max(ids), min(ids)
+        return
+    coords = s.shape[1]
+    codes = np.empty(s.shape, dtype=np.int64)
+    known = 0
+    for j in range(coords):
+        values, codes[:, j] = np.unique(s[:, j], return_inverse=True)
+        codes[:, j] += known
+        known += len(values)
+    lists = Postings(codes.ravel(), np.full(len(ids), coords))
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        lists.over(others)
+        by_length = np.argsort(lists.lengths(codes[x]), kind="stable")
+        merge, skip = by_length[:coords - matches + 1], by_length[coords - matches + 1:]
+        count = lists.merged(codes[x, merge])
+        met = np.flatnonzero(count)
+        of_met = lists.of[met]
+        count[met] += (codes[np.ix_(of_met, skip)] == codes[x, skip]).sum(axis=1)
+        return lists.among(count, others) >= matches
+
+    yield from stars(ids, near)
 
 
 def set_forest(ids: list[bytes], sets: list[bytes], percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """A spanning forest of the links between whole sets, through an inverted list of their shingles."""
+    """A spanning forest of the links between whole sets, through inverted lists of their shingles."""
     members = [np.frombuffer(s, dtype=np.uint64) for s in sets]
     sizes = np.array([len(m) for m in members])
     _, codes = np.unique(np.concatenate(members), return_inverse=True)
-    own = np.split(codes, np.cumsum(sizes)[:-1])
-    index: dict = {}
-
-    def build(others: np.ndarray) -> None:
-        """Inverted lists of the members that are not reached yet: places in ``others`` by shingle."""
-        flat = np.concatenate([own[i] for i in others])
-        place = np.repeat(np.arange(len(others)), sizes[others])
-        order = np.argsort(flat, kind="stable")
-        index.update(n=len(others), of=others, place=place[order], starts=np.searchsorted(flat[order], np.arange(codes.max() + 2)))
+    lists = Postings(codes, sizes)
 
     def near(x: int, others: np.ndarray) -> np.ndarray:
-        if not index or len(others) * 2 < index["n"]:
-            build(others)
-        starts = index["starts"][own[x]]
-        lengths = index["starts"][own[x] + 1] - starts
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-        both = np.bincount(index["place"][at], minlength=index["n"])
-        both = both[np.searchsorted(index["of"], others)]  # others is a sorted part of what was indexed
+        lists.over(others)
+        both = lists.among(lists.merged(lists.own[x]), others)
         return 100 * both >= percent * (sizes[others] + sizes[x] - both)
 
     yield from stars(ids, near)

@@ -129,6 +129,23 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[f"{i:03}".encode()] == b"000" for i in range(61)) and all(got[str(i).encode()] == b"900" for i in range(900, 940))
 
 
+@pytest.mark.parametrize("members, values", [(2, 3), (3, 2), (60, 4), (300, 40)])
+def test_merged_collisions_equal_those_of_all_pairs(members, values):
+    rng = np.random.default_rng(members)
+    for matches in (1, 5, 8):
+        s = rng.integers(0, values, (members, 8)).astype(np.uint32)
+        s[rng.integers(0, members, members // 3), :6] = s[0, :6]  # hot values
+        ids = [i.to_bytes(2, "big") for i in range(members)]
+        found = list(N.signature_forest(ids, [row.tobytes() for row in s], matches))
+        root = list(range(members))
+        for a in range(members):
+            for b in range(a):
+                if (s[a] == s[b]).sum() >= matches:
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+        assert sorted(found) == sorted((ids[i], ids[r]) for i, r in enumerate(root) if i != r)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_forests_connect_what_links_connect(seed):
     rng = np.random.default_rng(seed)
