@@ -85,9 +85,8 @@ def train_ftrl(examples: list[tuple[np.ndarray, int]], s: FtrlSettings) -> tuple
             n[at] += g * g
             zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / s.alpha * b
             nb += g * g
-    every = weights(slice(None))
-    kept = np.flatnonzero(every)
-    return kept, every[kept], -zb / ((s.beta + math.sqrt(nb)) / s.alpha)
+    kept = np.flatnonzero(np.abs(z) > s.l1)  # L1 leaves no weight elsewhere
+    return kept, weights(kept), -zb / ((s.beta + math.sqrt(nb)) / s.alpha)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = FtrlSettings()) -> list[tuple[int, float]]:
