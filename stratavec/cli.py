@@ -1,4 +1,4 @@
-"""Command line: ``python -m stratavec.cli search ...`` and ``python -m stratavec.cli best-k ...``."""
+"""Command line: ``python -m stratavec.cli search ...``, ``best-k ...`` and ``summary ...``."""
 
 from __future__ import annotations
 
@@ -15,8 +15,9 @@ from .operators.graph import graph_lines, knn_graph
 from .operators.ivf import IVFFlat, sweep
 from .operators.lsh import LSH
 from .operators.pq import IVFPQ
+from .operators.summary import parse_reports, summarised
 from .plans.params import KMeansParams, SearchParams
-from .sources import reports
+from .sources import charts, reports
 from .sources.vectors import kind_of, load_vectors
 
 log = logging.getLogger("stratavec")
@@ -147,7 +148,27 @@ def best_k(spark: SparkSession, args: list[str]) -> int:
     return 0
 
 
-COMMANDS = {"search": search, "best-k": best_k}
+def summary(spark: SparkSession, args: list[str]) -> int:
+    glob, folder, rest = None, "plots", list(args)
+    while rest:
+        flag = rest.pop(0)
+        if flag == "-r" and rest:
+            glob = rest.pop(0)
+        elif flag == "-o" and rest:
+            folder = rest.pop(0)
+        else:
+            log.warning("unknown flag %s", flag)
+    if glob is None:
+        log.error("name reports: -r glob [-o folder]")
+        return 1
+    table = parse_reports(reports.read_reports(spark, glob)).persist()
+    reports.write_table(table, f"{folder}/results_table")
+    for path in charts.write_charts(summarised(table), folder):
+        log.info("wrote %s", path)
+    return 0
+
+
+COMMANDS = {"search": search, "best-k": best_k, "summary": summary}
 
 
 def main(args: list[str]) -> int:
