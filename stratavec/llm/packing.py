@@ -8,11 +8,9 @@ piece is cut to fill the gap exactly. So windows are full until the pieces run o
 the end of a partition goes into windows of the tiers' lengths, each full, and less than the
 shortest tier into one padded window. A partition is packed in one pass with a bounded pool.
 
-Sequences of each tier are dealt to step groups of ``step_tokens``. A task fills groups by itself and
-holds the rows of an unfinished one back; what its last groups lack is made up across tasks: the
-sequences left over are counted by task and tier, numbered by a running sum over those counts, and
-dealt to as few groups as hold them, whose sizes differ by one sequence at most. So only left-over
-rows, fewer than a group a task and tier, are shuffled.
+Sequences of each tier are dealt to as few step groups of at most ``step_tokens`` as hold them, whose
+sizes differ by one sequence at most, over all tasks: the written pieces are counted by task and
+tier, a running sum over those few counts numbers a tier's sequences, and the number gives the group.
 """
 
 from __future__ import annotations
@@ -33,12 +31,11 @@ from .common import written
 from .tokenizer import load, public_path
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-          "offset long, tier int, step_group long")
-#: Of an id: the task above these bits, a sequence's number or a group's tier and number below.
+          "offset long, tier int, place long")
+#: A sequence's id has its task above these bits and its number in the task below; a step group's id
+#: has the place of its tier and its number in the tier.
 TASK_BITS = 34
-TIER_BITS = 28
-#: Groups of what tasks left over have this bit, and their number below the tier.
-LEFT_OVER = 1 << 62
+TIER_BITS = 40
 
 
 @dataclass(frozen=True)
@@ -66,7 +63,6 @@ class Packer:
         self.n = 0
         self.sequences = 0
         self.of_tier = dict.fromkeys(settings.tiers, 0)
-        self.unfinished: dict[int, list] = {t: [] for t in settings.tiers}  # rows of less than a group
 
     def _wait(self, piece: tuple) -> None:
         size = piece[2]
@@ -99,22 +95,15 @@ class Packer:
     def _emit(self, pieces: list[tuple], tier: int) -> Iterator[tuple]:
         sequence = self.task << TASK_BITS | self.sequences
         self.sequences += 1
-        rows, offset = self.unfinished[tier], 0
-        per_group = self.s.per_group(tier)
-        step, place = divmod(self.of_tier[tier], per_group)
+        place, offset = self.of_tier[tier], 0
         self.of_tier[tier] += 1
         for doc, start, size in pieces:
-            rows.append((doc, start, size, sequence, offset, tier, place))
+            yield doc, start, size, sequence, offset, tier, place
             offset += size
-        if place == per_group - 1:
-            group = self.task << TASK_BITS | self.s.tiers.index(tier) << TIER_BITS | step
-            for row in rows:
-                yield *row[:-1], group, None
-            rows.clear()
 
     def add(self, doc, size: int) -> Iterator[tuple]:
-        """Take a document of ``size`` tokens; yields the pieces of groups that are full: document,
-        start, length, sequence, offset, tier, group, null."""
+        """Take a document of ``size`` tokens; yields the pieces of windows that are full: document,
+        start, length, sequence, offset, tier, the sequence's place in its tier."""
         start = 0
         while size - start >= self.window:
             yield from self._emit([(doc, start, self.window)], self.window)
@@ -162,31 +151,28 @@ class Packer:
             yield from self._emit(own, tier or self.s.tiers[-1])
 
     def finish(self) -> Iterator[tuple]:
-        """The rest; pieces of unfinished groups have no group but their sequence's place in it."""
         yield from self.pack(None)
-        for rows in self.unfinished.values():
-            for row in rows:
-                yield *row[:-1], None, row[-1]
-            rows.clear()
 
 
-def _grouped_left_overs(pieces: DataFrame, settings: PackSettings) -> DataFrame:
-    """``pieces`` (a written table) with step_group filled in where a task left it open."""
-    left = pieces.where("place is not null").withColumn("task", F.shiftright("sequence_id", TASK_BITS))
-    counts = left.groupBy("task", "tier").agg(F.max("place").alias("last"))  # a row a task and tier
+def _in_step_groups(pieces: DataFrame, settings: PackSettings) -> DataFrame:
+    """``pieces`` (a written table) with step_group instead of place."""
+    rows = pieces.withColumn("task", F.shiftright("sequence_id", TASK_BITS))
+    counts = rows.groupBy("task", "tier").agg((F.max("place") + 1).alias("n"))  # a row a task and tier
     of_tier = Window.partitionBy("tier")
-    before = F.sum(F.col("last") + 1).over(of_tier.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    dealt = counts.select("task", "tier", F.coalesce(before, F.lit(0)).alias("before"), F.sum(F.col("last") + 1).over(of_tier).alias("total"))
-    index, per_group = F.lit(None).cast("long"), F.lit(1).cast("long")
+    before = F.sum("n").over(of_tier.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("task", "tier", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(of_tier).alias("total"))
+    at, most = F.lit(0), F.lit(1)
     for i, tier in enumerate(settings.tiers):
-        index = F.when(F.col("tier") == tier, F.lit(i).cast("long")).otherwise(index)
-        per_group = F.when(F.col("tier") == tier, F.lit(settings.per_group(tier)).cast("long")).otherwise(per_group)
-    groups = F.ceil(F.col("total") / per_group)
-    number = F.floor((F.col("before") + F.col("place")) * groups / F.col("total"))
-    group = F.lit(LEFT_OVER).bitwiseOR(F.shiftleft(index, TASK_BITS)).bitwiseOR(number)
-    filled = left.join(dealt, ["task", "tier"]).withColumn("step_group", group)
-    names = [c for c in pieces.columns if c != "place"]
-    return pieces.where("place is null").select(*names).unionByName(filled.select(*names))
+        at = F.when(F.col("tier") == tier, F.lit(i)).otherwise(at)
+        most = F.when(F.col("tier") == tier, F.lit(settings.per_group(tier))).otherwise(most)
+    # The first ``longer`` groups have size + 1 sequences, the others ``size``.
+    counts = counts.withColumn("at", at.cast("long")).withColumn("groups", F.ceil(F.col("total") / most))
+    counts = counts.withColumn("size", F.expr("total div groups")).withColumn("longer", F.expr("total % groups"))
+    numbered = rows.join(counts, ["task", "tier"]).withColumn("index", F.col("before") + F.col("place"))
+    number = F.expr("if(index < longer * (size + 1), index div (size + 1), longer + (index - longer * (size + 1)) div size)")
+    names = [c for c in pieces.columns if c not in ("place", "ids")]
+    group = F.shiftleft(F.col("at"), TIER_BITS).bitwiseOR(number).alias("step_group")
+    return numbered.select(*names, group, *[c for c in pieces.columns if c == "ids"])
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, settings: PackSettings = PackSettings(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -196,11 +182,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: PackSettings
     Every row of the input is one document (null texts: only the separator); ids, repeated or null,
     are carried along as they are. Every id of a document lies in exactly one piece. tier is the
     length of the sequence's window: sequences fill theirs, but for at most one a partition.
-    step_group: sequences of one tier and of ``step_tokens`` together; the last groups of a tier may
-    have fewer, and differ by one sequence at most. The pieces are written to the shared folder once.
+    step_group: sequences of one tier, at most ``step_tokens`` together; groups of a tier differ by one
+    sequence at most. The pieces are written to the shared folder once.
     Documents of any length stream through; what waits is at most ``pool`` pieces and their ids.
     """
-    schema = T.StructType.fromDDL(SCHEMA + ", place long" + (", ids array<int>" if with_ids else ""))
+    schema = T.StructType.fromDDL(SCHEMA + (", ids array<int>" if with_ids else ""))
     arrow = to_arrow_schema(schema)
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -232,7 +218,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: PackSettings
         if out:
             yield table(out)
 
-    return _grouped_left_overs(written(body.mapInArrow(run, schema), "packed"), settings)
+    return _in_step_groups(written(body.mapInArrow(run, schema), "packed"), settings)
 
 
 def pack_with_public(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", settings: PackSettings = PackSettings()) -> DataFrame:
