@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_fst import round_trip_public
 from .common import table
 from .exact_dedup import EXACT_SQL, exact_groups
+from .fim import FIM_SQL, fill_in_middle
 from .language_id import language_id
 from .license_scan import license_sql, scan_licenses
 from .near_dedup import NEAR_SQL, NearSettings, near_groups
@@ -59,6 +60,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_with_public(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k_search": op8_top_k_search,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_packing": op10_packing,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
@@ -80,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_dedup": NEAR_SQL,
         "op5_license_scan": license_sql(),
         "op8_top_k_search": TOP_K_SQL,
+        "op11_fill_in_middle": FIM_SQL,
     }
