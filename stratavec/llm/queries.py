@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_fst import round_trip_public
 from .common import table
+from .divergence import AUDIT_SQL, audit_sources
 from .exact_dedup import EXACT_SQL, exact_groups
 from .fim import FIM_SQL, fill_in_middle
 from .language_id import language_id
@@ -64,6 +65,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_packing": op10_packing,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
@@ -87,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_sql(),
         "op8_top_k_search": TOP_K_SQL,
         "op11_fill_in_middle": FIM_SQL,
+        "op12_source_divergence": AUDIT_SQL,
     }
