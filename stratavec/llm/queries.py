@@ -11,6 +11,7 @@ from .common import table
 from .divergence import AUDIT_SQL, audit_sources
 from .exact_dedup import EXACT_SQL, exact_groups
 from .fim import FIM_SQL, fill_in_middle
+from .hash_forest import nearest
 from .language_id import language_id
 from .license_scan import license_sql, scan_licenses
 from .near_dedup import NEAR_SQL, NearSettings, near_groups
@@ -69,6 +70,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": op10_packing,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_source_divergence": op12_source_divergence,
+        "op13_approximate_nearest": op13_approximate_nearest,
     }
 
 
