@@ -2,16 +2,20 @@ r"""Personal data by gradient boosting over candidate spans, in built-in express
 
 Generators with high recall propose spans, which may overlap. Base spans (the plain patterns with
 their checks) always stay, and candidates that overlap one are none. Every other candidate becomes a
-small vector of binned features of its format and context; boosted trees score it; a threshold per
-generator, calibrated on folds that the scoring trees have not seen, selects redactions among those
-that pass their generator's strict check, and the best-scored of overlapping ones stay.
-
-Training needs no labels from outside: each generator has a strict check (card checksum, area codes,
-...) that the features do not contain, and the trees learn how likely a candidate passes it given
-how it looks and where it stands. A look-alike passes by chance with a known probability, so the
-failures in a range of scores tell how many of its passes are look-alikes: a threshold is the
-smallest score above which they are at most one in ten. ``prior`` genuine passes are assumed
-beforehand, so where candidates are few, the strict check alone decides.
+small vector of binned features of its context and format; boosted trees score it; a threshold per
+generator, calibrated on folds that the scoring trees have not seen, selects redactions, and the
+best-scored of overlapping ones stay.
+
+Training needs no labels from outside: every pattern, the base ones included, has a strict check (card checksum,
+area codes, an assigned value of mixed characters, ...), and the trees learn from all its matches,
+those that pass and those that fail, how likely a match is the real thing, given how it looks and where it
+stands. The generators are of two sorts. For those whose check is a rule on digits that a random number
+passes with a known probability (``CHANCE``), the check stays necessary, and the failures in a range of scores
+tell how many of its passes are look-alikes: a threshold is the smallest score above which they are at
+most one in ten. ``prior`` genuine passes are assumed beforehand. For the others (``JUDGED``) the trees decide: all candidates above a threshold
+are selected, whether they pass the check or not, and it lies where passes outweigh failures most, a failure being as dear as nine
+passes; where they never do, nothing is selected. Where a table holds fewer than ``prior`` passes of a judged generator,
+nothing can be calibrated, and its check decides.
 
 All features are binned, so the training set is a contingency table (a count of passes and failures
 for each distinct vector and fold) that one map-side combined aggregation over every candidate
@@ -27,6 +31,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +57,18 @@ EXTRA = [
     ("local_phone", "phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"),
     ("short_card", "card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,14}+(?![\x20-]?[0-9])", r"[0-9](?:[\x20-]?+[0-9]){12}"),
     ("national_id", "id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    ("secret", "secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_?key|access_?key)\x20?[=:]\x20?[\x22'][^\x22'\s]{8,200}+[\x22']", r"(?i)(?:token|secret|passw|key)[a-z]*+\x20?[=:]\x20?[\x22']"),
+    # Assigned values, and any run of letters and digits that might be one.
+    ("secret", "secret", r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_?key|access_?key)\x20?[=:]\x20?[\x22'][^\x22'\s]{8,200}+[\x22']|(?<![A-Za-z0-9])(?=[A-Za-z]{0,100}+[0-9])[A-Za-z0-9]{8,200}+(?![A-Za-z0-9])", r"(?i)(?:token|secret|passw|key)[a-z]*+\x20?[=:]\x20?[\x22']|[0-9][A-Za-z0-9]{7}|[A-Za-z0-9]{7}[0-9]|[A-Za-z0-9]{4}[0-9][A-Za-z0-9]{3}|[A-Za-z]{1,100}+[0-9][A-Za-z0-9]"),
 ]
 KINDS = ["email", "ip", "card", "phone", "id", "secret"]
 GENERATORS = [name for name, *_ in EXTRA]
-#: The probability that what only looks like a generator's kind passes its strict check.
-CHANCE = {"spelled_email": 0.1, "local_phone": 0.64, "short_card": 0.1, "national_id": 0.89, "secret": 0.05}
-FEATURES = ["generator", "size", "digits", "marks", "before", "after", "cue"]
+#: The probability that random digits pass a generator's check: two digits from 2 to 9; the last of a checksum; neither 000, 666
+#: nor 9xx, not 00, not 0000.
+CHANCE = {"local_phone": 0.8 * 0.8, "short_card": 0.1, "national_id": 0.898 * 0.99 * 0.9999}
+#: Generators whose spans the trees alone decide about.
+JUDGED = [name for name in GENERATORS if name not in CHANCE]
+#: Context before format: of equally good splits the first is taken.
+FEATURES = ["generator", "cue", "before", "after", "marks", "size", "digits"]
 CONTEXT = 24
 
 
@@ -113,6 +123,8 @@ def _strict(generator: str, value: Column) -> Column:
         return _digits(value).rlike(r"^[2-9][0-9]{2}[2-9][0-9]{6}$")
     if generator == "national_id":
         return ~value.rlike(r"^(?:000|666|9)") & ~value.rlike(r"-00-|-0000$")
+    if generator in BASE:
+        return _base_check(generator, value)
     inside = F.regexp_extract(value, r"[\x22']([^\x22']*)[\x22']", 1)
     return inside.rlike("[0-9]") & inside.rlike("[A-Za-z]") & (F.length(inside) >= 16)
 
@@ -147,40 +159,33 @@ def _bin(n: Column, *edges: int) -> Column:
     return out
 
 
-def _base(text: Column, kind: str) -> Column:
-    """The base spans of a kind, as an array of structs (kind, start, end)."""
-
-    def placed(s: Column) -> Column:
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"))
-
-    passing = F.filter(_spans(text, BASE[kind]), lambda s: F.coalesce(_base_check(kind, s["value"]), F.lit(False)))
-    return F.when(_gate(text, GATE[kind]), F.transform(passing, placed).cast(SPANS)).otherwise(F.array().cast(SPANS))
-
-
-def _candidates(text: Column, generator: str, kind: str, pattern: str, gate: Column) -> Column:
-    """The generator's candidates with their features, as an array of structs."""
+def _described(text: Column, name: str, kind: str, number: int, pattern: str, gate: str) -> Column:
+    """All matches of a pattern with the outcome of its check and their features, as an array of structs."""
 
     def describe(s: Column) -> Column:
         value, start = s["value"], s["start"]
         length = F.length(value)
         left = F.when(start > 0, F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))).otherwise(F.lit(""))
         after = F.substring(text, start + length + 1, F.lit(1))
+        assigned = F.lit(name == "secret") & value.rlike("[=:]")
+        cue = (F.when(assigned, 3).when(left.rlike(r"(?i)token|secret|passw|key"), 2)
+               .when(left.rlike(r"(?i)card|phone|tel\b|call|mail|address|\bip\b|host|ssn"), 1).otherwise(0))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
             start.alias("start"),
             (start + length).alias("end"),
-            F.coalesce(_strict(generator, value), F.lit(False)).cast("int").alias("strict"),
-            F.lit(GENERATORS.index(generator)).alias("generator"),
-            _bin(length, 7, 9, 11, 12, 13, 14, 15, 16, 17, 19, 23, 31, 47).alias("size"),
-            _bin(F.length(_digits(value)), 0, 2, 7, 9, 10, 12, 13, 14, 15, 16, 19).alias("digits"),
-            _bin(F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")), 0, 1, 2, 3, 5).alias("marks"),
+            F.coalesce(_strict(name, value), F.lit(False)).cast("int").alias("strict"),
+            F.lit(number).alias("generator"),
+            cue.alias("cue"),
             _char_class(F.substring(left, -1, 1)).alias("before"),
             _char_class(after).alias("after"),
-            left.rlike(r"(?i)card|phone|tel\b|call|mail|address|\bip\b|host|ssn|token|secret|passw|key").cast("int").alias("cue"),
+            _bin(F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")), 0, 1, 2, 3, 5).alias("marks"),
+            _bin(length, 7, 9, 11, 12, 13, 14, 15, 16, 17, 19, 23, 31, 47).alias("size"),
+            _bin(F.length(_digits(value)), 0, 2, 7, 9, 10, 12, 13, 14, 15, 16, 19).alias("digits"),
         )
 
     none = F.array().cast(CANDIDATES)
-    return F.when(gate, F.transform(_spans(text, pattern), describe).cast(CANDIDATES)).otherwise(none)
+    return F.when(_gate(text, gate), F.transform(_spans(text, pattern), describe).cast(CANDIDATES)).otherwise(none)
 
 
 SPANS = "array<struct<kind:int,start:int,end:int>>"
@@ -192,103 +197,102 @@ def _gate(text: Column, gate: str) -> Column:
 
 
 def proposed(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with columns __sure (the base spans, in order) and __more (the candidates of the other
-    generators that overlap none of them); no shuffle."""
-    found = df.withColumn("__sure", F.array_sort(F.concat(*[_base(text, k) for k in BASE])))
-    more = F.concat(*[_candidates(text, name, kind, pattern, _gate(text, gate)) for name, kind, pattern, gate in EXTRA])
+    """``df`` with columns __seen (all matches of the base patterns, with their outcomes), __sure (the base spans,
+    in order) and __more (the candidates of the other generators that overlap none of them); no shuffle."""
+    seen = F.concat(*[_described(text, kind, kind, len(EXTRA) + i, BASE[kind], GATE[kind]) for i, kind in enumerate(BASE)])
+    more = F.concat(*[_described(text, name, kind, i, pattern, gate) for i, (name, kind, pattern, gate) in enumerate(EXTRA)])
+    passing = F.expr(f"array_sort(transform(filter(__seen, c -> c.strict = 1), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end)))")
+    found = df.withColumn("__seen", seen).withColumn("__sure", passing.cast(SPANS))
     return found.withColumn("__more", F.filter(more, lambda c: ~F.exists("__sure", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
 
 
 def propose(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, __sure, __more) for every row."""
+    """(doc_id, __seen, __sure, __more) for every row."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return proposed(base, F.col("text")).drop("text")
 
 
 # ---------------------------------------------------------------- boosting
 
-def _grow(rows, gain_floor: float = 1e-6):
+def _grow(vectors: np.ndarray, g: np.ndarray, h: np.ndarray, gain_floor: float = 1e-6):
     """The best tree of depth two over weighted rows (vector, gradient, hessian): nested splits."""
 
-    def leaf(part):
-        g, h = sum(r[1] for r in part), sum(r[2] for r in part)
-        return g / (h + 1.0)
-
-    def split(part):
-        g, h = sum(r[1] for r in part), sum(r[2] for r in part)
+    def split(rows):
         best = (gain_floor, None)
-        for f in range(len(FEATURES)):
-            levels: dict[int, list[float]] = {}
-            for vector, gr, he in part:
-                cell = levels.setdefault(vector[f], [0.0, 0.0])
-                cell[0] += gr
-                cell[1] += he
-            gl = hl = 0.0
-            for value in sorted(levels)[:-1]:
-                gl += levels[value][0]
-                hl += levels[value][1]
-                gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                if gain > best[0] + 1e-12:
+        whole, weight = g[rows].sum(), h[rows].sum()
+        for f in range(vectors.shape[1]):
+            values = vectors[rows, f]
+            left, under = np.cumsum(np.bincount(values, g[rows])), np.cumsum(np.bincount(values, h[rows]))
+            for value in np.unique(values)[:-1].tolist():
+                gl, hl = left[value], under[value]
+                gain = gl * gl / (hl + 1) + (whole - gl) ** 2 / (weight - hl + 1) - whole * whole / (weight + 1)
+                if gain > best[0] + 1e-9:
                     best = (gain, (f, value))
         return best[1]
 
-    def build(part, depth):
-        at = split(part) if depth else None
+    def build(rows, depth):
+        at = split(rows) if depth else None
         if at is None:
-            return leaf(part)
+            return float(g[rows].sum() / (h[rows].sum() + 1.0))
         f, value = at
-        return (f, value, build([r for r in part if r[0][f] <= value], depth - 1), build([r for r in part if r[0][f] > value], depth - 1))
-
-    return build(rows, 2)
-
-
-def _value(tree, vector) -> float:
-    while isinstance(tree, tuple):
-        f, at, low, high = tree
-        tree = low if vector[f] <= at else high
-    return tree
-
-
-def boost(counts: list[tuple[tuple[int, ...], int, int]], settings: BoostSettings):
-    """Gradient boosting (logistic loss) on a contingency table of (vector, failures, passes)."""
-    total = sum(n + p for _, n, p in counts)
-    passed = sum(p for *_, p in counts)
-    start = math.log((passed + 1) / (total - passed + 1))
-    scores, trees = [start] * len(counts), []
-    for _ in range(settings.rounds if 0 < passed < total else 0):
-        rows = []
-        for (vector, n, p), s in zip(counts, scores):
-            q = 1 / (1 + math.exp(-s))
-            rows.append((vector, p - (n + p) * q, (n + p) * q * (1 - q)))
-        tree = _grow(rows)
+        low = vectors[rows, f] <= value
+        return (f, value, build(rows[low], depth - 1), build(rows[~low], depth - 1))
+
+    return build(np.arange(len(vectors)), 2)
+
+
+def _values(tree, vectors: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(vectors), tree)
+    f, at, low, high = tree
+    return np.where(vectors[:, f] <= at, _values(low, vectors), _values(high, vectors))
+
+
+def boost(vectors: np.ndarray, failed: np.ndarray, passed: np.ndarray, settings: BoostSettings):
+    """Gradient boosting (logistic loss) on a contingency table: distinct vectors with failures and passes."""
+    n, p = failed + passed, passed.astype(float)
+    start = math.log((p.sum() + 1) / (failed.sum() + 1))
+    scores, trees = np.full(len(vectors), start), []
+    for _ in range(settings.rounds if failed.any() and passed.any() else 0):
+        q = 1 / (1 + np.exp(-scores))
+        tree = _grow(vectors, p - n * q, n * q * (1 - q))
         if not isinstance(tree, tuple):
             break
         trees.append(tree)
-        scores = [s + settings.rate * _value(tree, v) for s, (v, *_) in zip(scores, counts)]
+        scores = scores + settings.rate * _values(tree, vectors)
     return start, trees
 
 
-def _probability(model, vector, rate: float) -> float:
+def _probabilities(model, vectors: np.ndarray, rate: float) -> np.ndarray:
     start, trees = model
-    return 1 / (1 + math.exp(-(start + rate * sum(_value(t, vector) for t in trees))))
+    return 1 / (1 + np.exp(-sum((rate * _values(t, vectors) for t in trees), np.full(len(vectors), start))))
 
 
-def calibrate(scored: list[tuple[int, float, int, int]], settings: BoostSettings) -> dict[int, float]:
-    """For each generator the smallest score from which the precision holds, of (generator, score,
-    failures, passes); a generator whose candidates never reach it selects nothing (2.0), and one
-    without candidates anything that passes its check (0.0)."""
+def calibrate(scored: list[tuple[int, float, int, int]], settings: BoostSettings) -> dict[int, float | None]:
+    """For each generator the score from which its candidates are selected, of (generator, score, failures,
+    passes); 2.0 selects nothing. Checked generators take the smallest score from which the precision holds. For
+    judged ones a wrong span costs as many right ones as the precision allows for it: the best balance
+    counts, and the threshold lies halfway to the next score below. A generator with too few passes to tell
+    has None: its check alone decides."""
+    dear = settings.precision / (1 - settings.precision)
     out = {}
     for g, name in enumerate(GENERATORS):
         rows = sorted(((score, n, p) for of, score, n, p in scored if of == g), reverse=True)
-        by_chance = CHANCE[name] / (1 - CHANCE[name])
-        best, good, bad, i = 2.0 if rows else 0.0, 0, 0, 0
+        if not rows or (name in JUDGED and sum(p for *_, p in rows) < settings.prior):
+            out[g] = None
+            continue
+        threshold, balance, good, bad, i = 2.0, 0.0, 0, 0, 0
         while i < len(rows):
             score = rows[i][0]
             while i < len(rows) and rows[i][0] == score:
                 bad, good, i = bad + rows[i][1], good + rows[i][2], i + 1
-            if bad * by_chance <= (1 - settings.precision) * (good + settings.prior):
-                best = score
-        out[g] = best
+            if name not in JUDGED:
+                if bad * CHANCE[name] / (1 - CHANCE[name]) * (dear + 1) <= good + settings.prior:
+                    threshold = score
+            elif good - dear * bad > balance:
+                balance = good - dear * bad
+                threshold = (score + (rows[i][0] if i < len(rows) else score)) / 2
+        out[g] = threshold
     return out
 
 
@@ -300,24 +304,24 @@ def _tree_sql(tree, item: str) -> str:
 
 
 def fit(candidates: DataFrame, settings: BoostSettings = BoostSettings()):
-    """(model, thresholds) from a table of (doc_id, __more)."""
-    one = candidates.select(fold(F.col("doc_id"), settings.folds).alias("fold"), F.explode("__more").alias("c"))
+    """(model, thresholds) from a table of (doc_id, __seen, __more)."""
+    one = candidates.select(fold(F.col("doc_id"), settings.folds).alias("fold"), F.explode(F.concat("__seen", "__more")).alias("c"))
     cells = (one.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
              .agg(F.sum(1 - F.col("c.strict")).alias("failed"), F.sum(F.col("c.strict")).alias("passed")))
-    rows = [(r["fold"], tuple(r[f] for f in FEATURES), r["failed"], r["passed"]) for r in cells.orderBy("fold", *FEATURES).collect()]  # at most the product of the bins
+    rows = cells.orderBy("fold", *FEATURES).collect()  # at most the product of the bins
+    table = np.array([[r["fold"], *[r[f] for f in FEATURES], r["failed"], r["passed"]] for r in rows], dtype=np.int64).reshape(len(rows), len(FEATURES) + 3)
 
-    def learnt(without: int | None):
-        table: dict[tuple, list[int]] = {}
-        for of, vector, n, p in rows:
-            if of != without:
-                cell = table.setdefault(vector, [0, 0])
-                cell[0] += n
-                cell[1] += p
-        return boost([(v, n, p) for v, (n, p) in sorted(table.items())], settings)
+    def learnt(part: np.ndarray):
+        vectors, place = np.unique(part[:, 1:-2], axis=0, return_inverse=True)
+        failed, passed = (np.bincount(place.ravel(), part[:, c], len(vectors)).astype(np.int64) for c in (-2, -1))
+        return boost(vectors, failed, passed, settings)
 
-    models = {k: learnt(k) for k in sorted({r[0] for r in rows})}
-    scored = [(v[0], _probability(models[k], v, settings.rate), n, p) for k, v, n, p in rows]
-    return learnt(None), calibrate(scored, settings)
+    scored = []
+    for k in np.unique(table[:, 0]).tolist():
+        held = table[table[:, 0] == k]
+        scores = _probabilities(learnt(table[table[:, 0] != k]), held[:, 1:-2], settings.rate)
+        scored += zip(held[:, 1].tolist(), scores.tolist(), held[:, -2].tolist(), held[:, -1].tolist())
+    return learnt(table), calibrate(scored, settings)
 
 
 # ---------------------------------------------------------------- selection
@@ -326,13 +330,15 @@ NAMES = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
 SPAN_TEXT = f"array_join(transform({{}}, s -> concat({NAMES}[s.kind], ':', s.start, ':', s.end)), ',')"
 
 
-def select_spans(df: DataFrame, model, thresholds: dict[int, float], settings: BoostSettings) -> DataFrame:
+def select_spans(df: DataFrame, model, thresholds: dict[int, float | None], settings: BoostSettings) -> DataFrame:
     """``df`` (with __sure and __more) with column __found: all selected spans, by kind and start."""
     start, trees = model
     margin = " + ".join([f"{start!r}D", *[f"{settings.rate!r}D * ({_tree_sql(t, 'c')})" for t in trees]])
-    limits = "map(" + ", ".join(f"{g}, {t!r}D" for g, t in thresholds.items()) + ")"
+    limits = "map(" + ", ".join(f"{g}, {t or 0.0!r}D" for g, t in thresholds.items()) + ")"
+    decided = [str(g) for g, name in enumerate(GENERATORS) if name in JUDGED and thresholds[g] is not None]
+    free = f" OR c.generator IN ({', '.join(decided)})" if decided else ""
     scored = df.withColumn("__scored", F.expr(
-        "transform(filter(__more, c -> c.strict = 1), c -> struct(c.kind AS kind, c.start AS start, c.end AS end, false AS base, "
+        f"transform(filter(__more, c -> c.strict = 1{free}), c -> struct(c.kind AS kind, c.start AS start, c.end AS end, false AS base, "
         f"c.generator AS generator, 1D / (1D + exp(-({margin}))) AS score))"))
     best_first = ("CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.start < r.start THEN -1 "
                   "WHEN l.start > r.start THEN 1 WHEN l.generator < r.generator THEN -1 WHEN l.generator > r.generator THEN 1 ELSE 0 END")

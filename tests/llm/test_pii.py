@@ -145,3 +145,41 @@ def test_redaction(documents):
     out = {r["doc_id"]: r["text"] for r in redact_documents(df).collect()}
     assert out == {1: "write [EMAIL] now", 2: None, 3: "é [IP] 😀 [IP]", 4: "plain"}
     assert redact_documents(df).columns == df.columns
+
+
+def test_without_trees_secrets_among_look_alikes_are_lost(documents):
+    """The trees decide about secrets: numbers and words of letters and digits are candidates, too."""
+    from stratavec.llm.pii import BoostSettings
+
+    rows, spans = planted(corpus(40) + [(5000 + i, [f"run a{i}b{i * 7919}c and order {10 ** 15 + 12347 * i}"]) for i in range(100)])
+    secrets = {s for s in spans if s[1] == "secret"}
+
+    def found(rounds):
+        out = find_pii(documents(rows), settings=BoostSettings(rounds=rounds)).collect()
+        return {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in out for s in r["found"] if s["kind"] == "secret"}
+
+    assert found(40) == secrets
+    assert not found(0) & secrets
+
+
+def test_a_judged_span_needs_no_check(documents):
+    """An assigned value without letters fails the check, but looks and stands like the others."""
+    rows, _ = planted(corpus(60) + [(9000, ["set ", 'token = "' + "70614" * 8 + '"', " é\n"])])
+    assert any(i == 9000 and kind == "secret" for i, kind, *_ in added(documents(rows)))
+
+
+def test_trees_grow_and_decide_on_the_given_tables(spark):
+    import os
+
+    import pytest
+
+    from stratavec.llm.pii import GENERATORS, BoostSettings, fit, propose
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    seen = propose(spark.read.parquet(path), "doc_id", "text").persist()
+    (_, trees), limits = fit(seen)
+    assert len(trees) == BoostSettings().rounds
+    assert 0 < limits[GENERATORS.index("secret")] < 1
+    assert fit(seen, BoostSettings(rounds=0))[1][GENERATORS.index("secret")] == 2.0
