@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.sizes import broadcast_if_small
 from .arrow import trim
 from .common import written
 from .tokenizer import load, public_path
@@ -168,7 +169,8 @@ def _in_step_groups(pieces: DataFrame, settings: PackSettings) -> DataFrame:
     # The first ``longer`` groups have size + 1 sequences, the others ``size``.
     counts = counts.withColumn("at", at.cast("long")).withColumn("groups", F.ceil(F.col("total") / most))
     counts = counts.withColumn("size", F.expr("total div groups")).withColumn("longer", F.expr("total % groups"))
-    numbered = rows.join(counts, ["task", "tier"]).withColumn("index", F.col("before") + F.col("place"))
+    counts = written(counts, "packed-counts")
+    numbered = rows.join(broadcast_if_small(counts), ["task", "tier"]).withColumn("index", F.col("before") + F.col("place"))
     number = F.expr("if(index < longer * (size + 1), index div (size + 1), longer + (index - longer * (size + 1)) div size)")
     names = [c for c in pieces.columns if c not in ("place", "ids")]
     group = F.shiftleft(F.col("at"), TIER_BITS).bitwiseOR(number).alias("step_group")
