@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .common import fresh_path
+from .common import fresh_path, written
+from .joins import HOT_KEYS
 from .tokenizer import file_version, load, public_path
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
@@ -58,7 +59,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
 
     counts = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
     narrow = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return narrow.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Contents of more than a fixed part of all rows, which can only be few, are broadcast with their counts.
+    sizes = keyed.groupBy("content").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(sizes.where(F.col("n") > docs.count() // HOT_KEYS).select("content"), "token-hot")
+    few = narrow.join(F.broadcast(counts.join(F.broadcast(hot), "content")), "content")
+    others = narrow.join(F.broadcast(hot), "content", "left_anti").join(counts, "content")
+    return few.unionByName(others).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def count_tokens_afresh(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
