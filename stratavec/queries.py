@@ -23,7 +23,7 @@ from .operators.silhouette import Silhouette
 from .plans import oracle as O
 from .plans.params import CubeParams, IvfParams, KMeansParams, LshParams, PqParams
 from .plans.session import work_path
-from .sources import indexes, reports
+from .sources import formats, indexes, reports
 from .sources.vectors import load_vectors, read_fvecs, read_idx3, read_parquet, write_fvecs, write_idx3
 
 DIM = 64
@@ -376,6 +376,27 @@ def idx3_first_rows(spark, sf_dir):
     return long(rounded(rows.withColumn("value", F.col("value").cast("double")), "value"), "pos")
 
 
+def fvecs_files(spark, sf_dir):
+    """A folder of files read by the format's name, in slices of 50 vectors; ids count on over the files."""
+    path = work_path(spark, "fvecs-files")
+    write_fvecs(data(spark, sf_dir).repartitionByRange(4, "id"), path)
+    formats.register(spark)
+    v = spark.read.format("fvecs").options(dim=DIM, split_bytes=50 * (4 + 4 * DIM)).load(path)
+    return rounded(search.exact_knn(v, asked(v), N), "dist")
+
+
+def idx3_files(spark, sf_dir):
+    """Images in two files, read as one sequence in slices of 100; the last three are asked for."""
+    folder = work_path(spark, "idx3-files")
+    every = pixels(spark, sf_dir)
+    n = every.count()
+    for name, low, high in (("a.idx3", 0, n // 3), ("b.idx3", n // 3, n)):
+        write_idx3(every.where(F.col("id").between(low, high - 1)), f"{folder}/{name}", 8, 8)
+    formats.register(spark)
+    v = spark.read.format("idx3").option("split_bytes", 6400).load(folder)
+    return rounded(search.exact_knn(v, v.where(F.col("id") >= n - 3).select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), N), "dist")
+
+
 def dataset_kinds(spark, sf_dir):
     """Files of three kinds, told apart by their names: rows, dimensions, and rows under a limit of 50."""
     v = data(spark, sf_dir)
@@ -487,7 +508,7 @@ def queries() -> dict[str, Query]:
     plain = [exact_knn, exact_range, exact_knn_part, distances, scaled_vectors, lsh_hashes, lsh_ids, lsh_buckets, cube_vertices,
              kmeans_pp_init, kmeans_lloyd, kmeans_assign, residuals, silhouette_points, silhouette_clusters, silhouette_mean,
              best_k_sweep, auto_k, ivf_build, pq_codebooks, pq_encode, pq_lut, pq_adc, knn_graph_csv, report_blocks, results_parse, metrics_summary,
-             metrics_table, trade_off, report_blocks_ivfpq, results_files, sweep_files, timed_run, parameter_echo, fvecs_scan, idx3_scan, idx3_first_rows,
+             metrics_table, trade_off, report_blocks_ivfpq, results_files, sweep_files, timed_run, parameter_echo, fvecs_scan, fvecs_files, idx3_scan, idx3_files, idx3_first_rows,
              dataset_kinds, lsh_query, clear_index, kmeans_distributed, kmeans_random_init, kmeans_empty, kmeans_predict]
     out = {f.__name__: f for f in plain}
     for name in BUILDERS:
@@ -579,6 +600,9 @@ def further_sql(lsh_c: list[str], ivf_c: list[str], pq_c: list[str], k_c: list[s
         "timed_run": O.query([*ivf_c, *O.truth(N), *O.scored("fd", N)], "SELECT 'ivf' AS method, 'embeddings' AS dataset, true AS range_search, round(avg_af, 6) AS avg_af, n_found, round(recall_at_n, 6) AS recall_at_n, true AS qps, true AS t_approx_ms, true AS t_true_ms FROM e"),
         "parameter_echo": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}')" for n, v in ECHO.items()) + ") AS t(name, value)",
         "fvecs_scan": O.query([], f"SELECT id, pos, round(x, 6) AS value FROM (SELECT id, {places} FROM v)"),
+        "fvecs_files": O.query(["d AS (SELECT qid, id, list_distance(qv, v) AS d FROM q, v)"], O.ranked("d", N)),
+        "idx3_files": "WITH v AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)::DOUBLE) AS v FROM embeddings), "
+                      "d AS (SELECT a.id AS qid, b.id, list_distance(a.v, b.v) AS d FROM v a, v b WHERE a.id >= (SELECT count(*) FROM v) - 3) " + O.ranked("d", N),
         "idx3_scan": O.query([], f"SELECT id, pos, {pixel}::BIGINT AS pixel FROM (SELECT id, {places} FROM v)"),
         "idx3_first_rows": O.query([], f"SELECT id, pos, round(({pixel} / 255)::FLOAT::DOUBLE, 6) AS value FROM (SELECT id, {places} FROM v) WHERE id < 100"),
         "dataset_kinds": O.query([], "SELECT kind, n, dim, least(n, 50) AS n_limited FROM (SELECT count(*) AS n, max(len(v)) AS dim FROM v), (VALUES ('fvecs'), ('idx3'), ('parquet')) AS t(kind)"),

@@ -10,62 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vec import valid
+from .formats import IDX3_MAGIC, SPLIT_BYTES, VECTORS, FvecsReader, Idx3Reader, idx3_header, opened, reachable, reading
 
-VECTORS = "id long, vec array<float>"
-
-#: Fixed value: the magic number of an IDX3 file of unsigned bytes.
-IDX3_MAGIC = 2051
-
-
-def read_fvecs(spark: SparkSession, path: str, limit: int | None = None, dim: int = 128) -> DataFrame:
-    """Records of a little-endian dimension and as many floats. Every record has 4 + 4 * dim bytes,
-    so Spark splits the file at record borders and rows keep their place as id.
+def read_fvecs(spark: SparkSession, path: str, limit: int | None = None, dim: int = 128, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of a little-endian dimension and as many floats, from a file, a folder or a pattern (``formats``).
 
     A wrong dimension or a cut payload fails; a cut dimension word at the end is a clean end.
     """
-    size = 4 + 4 * dim
-    sc = spark.sparkContext
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    total = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
-    if total % size >= 4:
-        first = _head(spark, path, 4)
-        if int(np.frombuffer(first, "<i4")[0]) != dim:
-            raise ValueError(f"{path}: a record has dimension {int(np.frombuffer(first, '<i4')[0])}, not {dim}")
-        raise ValueError(f"{path}: the last record is cut short")
-    if total < size:
-        return spark.createDataFrame([], VECTORS)
-    if total % size:
+    if not reachable(path):
         return _decoded_whole(spark, path, limit, lambda content: _fvecs_rows(content, dim))
-    records = sc.binaryRecords(path, size).zipWithIndex()
-    if limit is not None and limit >= 0:
-        records = records.filter(lambda r: r[1] < limit)
-    raw = spark.createDataFrame(records.map(lambda r: (r[1], bytearray(r[0]))), "id long, raw binary")
-
-    def decode(frames):
-        for frame in frames:
-            data = np.frombuffer(b"".join(frame["raw"]), dtype="<i4").reshape(len(frame), dim + 1)
-            if (data[:, 0] != dim).any():
-                raise ValueError(f"a record has dimension {int(data[data[:, 0] != dim][0, 0])}, not {dim}")
-            yield pd.DataFrame({"id": frame["id"], "vec": list(np.ascontiguousarray(data[:, 1:]).view("<f4"))})
-
-    return raw.mapInPandas(decode, VECTORS)
+    options = {"dim": dim, "limit": -1 if limit is None else limit, "split_bytes": split_bytes}
+    FvecsReader({"path": path, **options}).layouts()  # mistakes show here
+    return reading(spark, "fvecs", **options).load(path)
 
 
 def _fvecs_rows(content: bytes, dim: int) -> np.ndarray:
-    data = np.frombuffer(content, dtype="<i4", count=len(content) // 4 // (dim + 1) * (dim + 1)).reshape(-1, dim + 1)
+    if len(content) % (4 + 4 * dim) >= 4:
+        raise ValueError("the last record is cut short")
+    data = np.frombuffer(content, dtype="<i4", count=len(content) // (4 + 4 * dim) * (dim + 1)).reshape(-1, dim + 1)
     if (data[:, 0] != dim).any():
         raise ValueError(f"a record has dimension {int(data[data[:, 0] != dim][0, 0])}, not {dim}")
     return np.ascontiguousarray(data[:, 1:]).view("<f4")
 
 
-def _head(spark: SparkSession, path: str, count: int) -> bytes:
-    """The first bytes of a file, read through Spark."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, count).alias("head")).first()
-    return bytes(row["head"]) if row else b""
-
-
 def _decoded_whole(spark: SparkSession, path: str, limit: int | None, rows: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """One file, decoded in one task, in slices of rows."""
+    """One file in a store that only Spark opens, decoded in one task, in slices of rows."""
 
     def decode(frames):
         for frame in frames:
@@ -76,35 +45,35 @@ def _decoded_whole(spark: SparkSession, path: str, limit: int | None, rows: Call
                     part = x[at:at + 4096].astype(np.float32)
                     yield pd.DataFrame({"id": np.arange(at, at + len(part)), "vec": list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, VECTORS)
+    files = spark.read.format("binaryFile").load(path)
+    if files.select("path").limit(2).count() > 1:
+        raise ValueError(f"{path}: only one file can be read from this store")
+    return files.select("content").mapInPandas(decode, VECTORS)
 
 
 def idx3_images(content: bytes) -> np.ndarray:
     """Images of an IDX3 file as rows of pixels. A wrong magic number or missing pixels fail."""
-    if len(content) < 16:
-        raise ValueError("an IDX3 file has a header of 16 bytes")
-    magic, n, height, width = np.frombuffer(content, dtype=">u4", count=4).tolist()
-    if magic != IDX3_MAGIC:
-        raise ValueError(f"the magic number is {magic}, not {IDX3_MAGIC}")
-    if len(content) < 16 + n * height * width:
-        raise ValueError("the file ends before its last image")
-    return np.frombuffer(content, dtype=np.uint8, count=n * height * width, offset=16).reshape(n, height * width)
-
-
-def read_idx3(spark: SparkSession, path: str, limit: int | None = 1000, normalise: bool = False) -> DataFrame:
-    """The first ``limit`` images (all: None or negative); pixels from 0 to 255, or to 1."""
+    n, dim = idx3_header(content[:16], len(content))
+    return np.frombuffer(content, dtype=np.uint8, count=n * dim, offset=16).reshape(n, dim)
+
+
+def read_idx3(spark: SparkSession, path: str, limit: int | None = 1000, normalise: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The first ``limit`` images (all: None or negative) of a file, a folder or a pattern (``formats``); pixels
+    from 0 to 255, or to 1."""
+    if reachable(path):
+        options = {"limit": -1 if limit is None else limit, "normalise": normalise, "split_bytes": split_bytes}
+        Idx3Reader({"path": path}).layouts()
+        return reading(spark, "idx3", **options).load(path)
     rows = _decoded_whole(spark, path, limit, idx3_images)
     return rows.withColumn("vec", F.transform("vec", lambda x: (x / 255).cast("float"))) if normalise else rows
 
 
 def _encoded(path: str, part: int | None, head: bytes, rows) -> tuple[str, int]:
     """Write bytes through Arrow's file systems, which know local paths and cluster URIs alike."""
-    from pyarrow import fs
-
-    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, folder = opened(path)
     if part is not None:
-        system.create_dir(folder, recursive=True)
         folder = f"{folder}/part-{part:05d}"
+    system.create_dir(folder.rpartition("/")[0] or "/", recursive=True)
     n = 0
     with system.open_output_stream(folder) as out:
         out.write(head)
