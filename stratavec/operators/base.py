@@ -22,10 +22,17 @@ class Index:
     vectors: DataFrame
     distance: Distance = staticmethod(l2)
     measure = "dist"
+    #: The tables on disk that a stored index is read from (``sources.indexes.Stored``).
+    stored = None
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def named(self, probes: DataFrame) -> DataFrame:
+        """The rows that ``probes`` may name, which a join sorts out: of a stored index those in the folders of
+        the probes, of any other all."""
+        return self.rows if self.stored is None else self.stored.rows_of(probes)
+
     def query_candidates(self, queries: DataFrame) -> DataFrame:
         """(qid, id)"""
         return self.candidates(queries).select("qid", "id").distinct()

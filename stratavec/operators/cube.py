@@ -12,6 +12,7 @@ from ..functions.hashing import sign_bits, vertex
 from ..functions.vec import floor_hash
 from ..plans.draws import CubeDraws, cube_draws, probe_masks
 from ..plans.params import CubeParams
+from ..plans.session import materialised
 from ..plans.sizes import broadcast_if_small
 from .base import Index, dimension
 from .lsh import literal
@@ -49,6 +50,10 @@ class Hypercube(Index):
         self.rows = self.placed(vectors, "id", "vec", engine) if self.dim else vectors.withColumn("vertex", F.lit(0).cast("long"))
         return self
 
+    def fill(self) -> DataFrame:
+        """(vertex, n): the number of rows on each vertex that has any."""
+        return self.rows.groupBy("vertex").agg(F.count(F.lit(1)).alias("n")) if self.stored is None else self.stored.fill()
+
     def probes(self, queries: DataFrame) -> DataFrame:
         """(qid, probe_no, vertex) that each query visits: at most ``max_probes`` vertices, and none
         once the vertices before it hold ``max_candidates`` rows (so the last one may overshoot)."""
@@ -57,13 +62,13 @@ class Hypercube(Index):
         own = self.placed(queries.select("qid", "qvec"), "qid", "qvec", self.engine)
         steps = own.select("qid", F.col("vertex").alias("own"), F.posexplode(masks).alias("probe_no", "mask"))
         steps = steps.select("qid", "probe_no", F.col("own").bitwiseXOR(F.col("mask").cast("long")).alias("vertex"))
-        fill = self.rows.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("qid").orderBy("probe_no").rowsBetween(Window.unboundedPreceding, -1)
-        counted = steps.join(fill, "vertex", "left").withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        counted = steps.join(self.fill(), "vertex", "left").withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0)))
         return counted.where(F.col("seen") < p.max_candidates).select("qid", "probe_no", "vertex")
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         if not self.dim:
             return queries.select("qid").limit(0).crossJoin(self.vectors.select("id", "vec"))
-        probes = broadcast_if_small(self.probes(queries).select("qid", "vertex"))
-        return self.rows.join(probes, "vertex").select("qid", "id", "vec")
+        probes = self.probes(queries).select("qid", "vertex")
+        probes = probes if self.stored is None else materialised(probes, "cube-probes")
+        return self.named(probes).join(broadcast_if_small(probes), "vertex").select("qid", "id", "vec")

@@ -1,5 +1,5 @@
 """Inverted files: rows are listed under their nearest centre, and a query reads the lists of its
-``nprobe`` nearest centres (an equi-join on the list; partition pruning when lists are on disk)."""
+``nprobe`` nearest centres (an equi-join on the list; of a stored index only those lists' folders are read)."""
 
 from __future__ import annotations
 
@@ -105,14 +105,14 @@ class IVFFlat(Index):
         return spark_centres(self.vectors.sparkSession, self.coarse.centres)
 
     def candidates(self, queries: DataFrame) -> DataFrame:
-        probes = broadcast_if_small(self.coarse.probes(queries).select("qid", "cid"))
-        return self.rows.join(probes, "cid").select("qid", "id", "vec")
+        probes = self.coarse.probes(queries).select("qid", "cid")
+        return self.named(probes).join(broadcast_if_small(probes), "cid").select("qid", "id", "vec")
 
     def _cells(self, queries: DataFrame, work) -> DataFrame:
         """Blocks of lists against blocks of the queries that read them. A row is in one list, so no
         pair repeats."""
-        asked = packed_by(self.coarse.probes(queries), "qid", "qvec", "cid")
-        return cells(packed_by(self.rows, "id", "vec", "cid"), asked, KNN, work, "cid")
+        probes = self.coarse.probes(queries)
+        return cells(packed_by(self.named(probes), "id", "vec", "cid"), packed_by(probes, "qid", "qvec", "cid"), KNN, work, "cid")
 
     def measured(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
         if self.distance is not l2:

@@ -11,6 +11,7 @@ from ..functions.hashing import bucket, composite
 from ..functions.vec import floor_hash
 from ..plans.draws import LshDraws, lsh_draws
 from ..plans.params import LshParams
+from ..plans.session import materialised
 from ..plans.sizes import broadcast_if_small, is_small
 from .base import Index, dimension
 
@@ -66,7 +67,9 @@ class LSH(Index):
         return self
 
     def entries(self) -> DataFrame:
-        """(tbl, hid, id), the index in long form, to be bucketed by (tbl, hid) on disk."""
+        """(tbl, hid, id), the index in long form, as it lies on disk."""
+        if self.stored is not None:
+            return self.rows
         return self.rows.select(F.posexplode("hids").alias("tbl", "hid"), "id").select("tbl", "hid", "id")
 
     def buckets(self) -> DataFrame:
@@ -80,15 +83,19 @@ class LSH(Index):
         if not self.dim:
             return queries.select("qid").limit(0).crossJoin(self.vectors.select("id"))
         asked = self.identified(queries.select("qid", "qvec"), "qid", "qvec", self.engine)
-        probes = broadcast_if_small(asked.select("qid", F.posexplode("hids").alias("tbl", "hid")))
-        return self.entries().join(probes, ["tbl", "hid"]).select("qid", "id").distinct()
+        probes = asked.select("qid", F.posexplode("hids").alias("tbl", "hid"))
+        held = self.entries() if self.stored is None else self.stored.rows_of(probes)
+        return held.join(broadcast_if_small(probes), ["tbl", "hid"]).select("qid", "id").distinct()
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """(qid, id, vec) of the pairs. Small probes are broadcast to the vectors, which stay where
         they are, and a pair comes once a table; beyond that identifiers meet first, and a vector is
-        shuffled once, however many tables find it."""
+        shuffled once, however many tables find it. Of a stored index the vectors of hits are fetched."""
         if not self.dim:
             return queries.select("qid").limit(0).crossJoin(self.vectors.select("id", "vec"))
+        if self.stored is not None:
+            pairs = materialised(self.query_candidates(queries), "lsh-pairs")
+            return self.stored.rows_of(pairs, "vectors").join(broadcast_if_small(pairs), "id").select("qid", "id", "vec")
         asked = self.identified(queries.select("qid", "qvec"), "qid", "qvec", self.engine)
         probes = asked.select("qid", F.posexplode("hids").alias("tbl", "hid"))
         if is_small(probes):

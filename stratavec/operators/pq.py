@@ -147,15 +147,18 @@ class IVFPQ(Index):
         if not len(self.coarse.centres):
             self.rows = vectors.select(F.lit(0).alias("cid"), "id", F.array().cast("array<int>").alias("codes"))
             return self
-        left = self.residuals(vectors)
-        self.pq.train(left.select("id", "vec"))
+        self.pq.train(self.residuals(vectors).select("id", "vec"))
+        self.rows = self.encoded(vectors)
+        return self
+
+    def encoded(self, vectors: DataFrame) -> DataFrame:
+        """(cid, id, codes) of (id, vec), by the trained centres and codebooks."""
         pq = self.pq
 
         def work(columns, x):
             return {"cid": columns["cid"], "id": columns["id"], "codes": pq.codes_of(x).tolist()}
 
-        self.rows = map_matrix(left, "vec", "cid int, id long, codes array<int>", work)
-        return self
+        return map_matrix(self.residuals(vectors), "vec", "cid int, id long, codes array<int>", work)
 
     @property
     def nlist(self) -> int:
@@ -173,8 +176,8 @@ class IVFPQ(Index):
         return self.query_candidates(queries).join(self.vectors.select("id", "vec"), "id").select("qid", "id", "vec")
 
     def query_candidates(self, queries: DataFrame) -> DataFrame:
-        probes = broadcast_if_small(self.coarse.probes(queries).select("qid", "cid"))
-        return self.rows.join(probes, "cid").select("qid", "id")
+        probes = self.coarse.probes(queries).select("qid", "cid")
+        return self.named(probes).join(broadcast_if_small(probes), "cid").select("qid", "id")
 
     def lut(self, queries: DataFrame) -> DataFrame:
         """(qid, cid, lut) for every list that a query reads."""
@@ -192,7 +195,7 @@ class IVFPQ(Index):
     def adc(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
         """(qid, id, adc) of all candidates; a list's codes meet the tables of its queries."""
         lut = broadcast_if_small(self.lut(queries))
-        pairs = self.rows.join(lut, "cid")
+        pairs = self.named(self.coarse.probes(queries)).join(lut, "cid")
         pairs = pairs.where("id != qid") if exclude_self else pairs
         return pairs.select("qid", "id", ProductQuantizer.adc_distance(F.col("lut"), F.col("codes")).alias("adc"))
 
