@@ -42,18 +42,19 @@ def nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, n: int, own: np.ndarr
 
 
 def assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centre of each row (the first of equals) and its squared distance."""
-    best, label = None, np.zeros(len(x), dtype=np.int64)
-    for c, centre in enumerate(centres):
-        d = x - centre
-        s = (d * d).sum(axis=1)
-        if best is None:
-            best = s
-        else:
-            better = s < best
-            best = np.where(better, s, best)
-            label[better] = c
-    return label, np.zeros(len(x)) if best is None else best
+    """Nearest centre of each row (the first of equals) and its squared distance. A matrix product settles
+    most rows; where two centres are as near within its rounding, exact distances decide."""
+    if not len(centres) or not len(x):
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    square, slack = rough_squares(x, centres)
+    label = square.argmin(axis=1)
+    rows = np.arange(len(x))
+    edge = square[rows, label] + slack[rows, label]
+    for i in np.flatnonzero((square - slack <= edge[:, None]).sum(axis=1) > 1).tolist():
+        near = np.flatnonzero(square[i] - slack[i] <= edge[i])
+        label[i] = near[((x[i] - centres[near]) ** 2).sum(axis=1).argmin()]
+    d = x - centres[label]
+    return label, (d * d).sum(axis=1)
 
 
 def seed_centres(x: np.ndarray, draws: list[float]) -> list[int]:

@@ -15,7 +15,7 @@ from ..functions.vec import l2
 from ..plans.params import IvfParams, KMeansParams
 from ..plans.sizes import broadcast_if_small
 from .base import Index
-from .kmeans import KMeans, assigned, sampled, spark_centres
+from .kmeans import SAMPLE_ROWS, KMeans, assigned, sampled, spark_centres
 from .search import KNN, top_n
 from .silhouette import Silhouette
 
@@ -55,7 +55,7 @@ class CoarseQuantizer:
         k = p.clusters if p.clusters > 0 else choose_k(vectors, p)
         if k > n:
             raise ValueError(f"{k} clusters need at least as many rows; there are {n}")
-        means = KMeans(KMeansParams(k, p.max_iters, p.tol, seed=p.seed, empty=p.empty))
+        means = KMeans(KMeansParams(k, p.max_iters, p.tol, seed=p.seed, empty=p.empty), SAMPLE_ROWS)
         means.fit(sampled(vectors, max(k, math.isqrt(n)), p.seed))
         self.centres = means.centroids()
 

@@ -16,7 +16,7 @@ from .operators import evaluate, graph, search, summary
 from .operators.base import Index
 from .operators.cube import Hypercube
 from .operators.ivf import IVFFlat, choose_k, sweep
-from .operators.kmeans import KMeans, assigned
+from .operators.kmeans import SAMPLE_ROWS, KMeans, assigned
 from .operators.lsh import LSH
 from .operators.pq import IVFPQ
 from .operators.silhouette import Silhouette
@@ -176,8 +176,7 @@ def cube_vertices(spark, sf_dir):
 def kmeans_pp_init(spark, sf_dir):
     v = data(spark, sf_dir)
     means = KMeans(KMEANS_P)
-    ordered = v.repartitionByRange("id").sortWithinPartitions("id").persist()
-    centres = means.seeds_distributed(ordered, v.count())
+    centres = means.seeds_distributed(v, v.count())
     rows = [(i, j, float(x)) for i, c in enumerate(centres) for j, x in enumerate(c)]
     return rounded(spark.createDataFrame(rows, "cid long, pos long, value double"), "value")
 
@@ -488,8 +487,8 @@ def high_recall(name: str) -> Query:
 
 
 def kmeans_distributed(spark, sf_dir):
-    """kmeans_lloyd by one job an iteration, whatever the number of rows."""
-    means = KMeans(KMEANS_P, local_rows=0)
+    """The fit of kmeans_lloyd under its earlier name; both go by tasks."""
+    means = KMeans(KMEANS_P)
     means.fit(data(spark, sf_dir))
     return _centre_rows(spark, means)
 
@@ -506,11 +505,11 @@ def kmeans_random_init(spark, sf_dir):
 
 
 def kmeans_empty(spark, sf_dir):
-    """Clusters that run empty take the farthest rows: in one task and in many."""
+    """Clusters that run empty take the farthest rows: fitted as a bounded sample and by tasks."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     v = part.select(F.col("p_partkey").cast("long").alias("id"), F.array((F.col("p_size") % 5).cast("double"), (F.col("p_partkey") % 2).cast("double")).alias("vec"))
     out = None
-    for way, rows in (("one task", 1 << 40), ("many tasks", 0)):
+    for way, rows in (("one task", SAMPLE_ROWS), ("many tasks", 0)):
         means = KMeans(EMPTY_P, local_rows=rows)
         means.fit(v)
         found = _centre_rows(spark, means).withColumn("way", F.lit(way))
