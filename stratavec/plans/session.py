@@ -33,7 +33,16 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     executor takes it away."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.path = path
+    return table
+
+
+def remove(table: DataFrame) -> None:
+    """Delete a table that ``materialised`` wrote and nothing reads any more."""
+    sc = table.sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(table.path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession, root: str) -> None:

@@ -14,7 +14,9 @@ from .functions.vec import residual, scaled
 from .cli import parse_search
 from .operators import evaluate, graph, search, summary
 from .operators.base import Index
+from .operators.bounded import BoundedSearch
 from .operators.cube import Hypercube
+from .operators.descent import neighbour_descent
 from .operators.ivf import IVFFlat, choose_k, sweep
 from .operators.kmeans import SAMPLE_ROWS, KMeans, assigned
 from .operators.lsh import LSH
@@ -31,6 +33,8 @@ N = 5
 RADIUS = 1.2
 EPSILON = 0.1
 GRAPH_K = 4
+DESCENT_K = 5
+BOUNDED_P = IvfParams(clusters=32, nprobe=1, seed=1, max_iters=20)
 LSH_P = LshParams(tables=5, hashes=4, width=2.0, seed=1)
 CUBE_P = CubeParams(projections=8, width=2.0, max_candidates=100, max_probes=6, seed=1)
 KMEANS_P = KMeansParams(k=8, max_iters=3, tol=0.0, seed=1, empty="keep")
@@ -81,11 +85,33 @@ def exact_range(spark, sf_dir):
 
 
 def exact_knn_part(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    v = part.select(F.col("p_partkey").cast("long").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("vec"))
+    v = part_vectors(spark, sf_dir)
     return rounded(search.exact_knn(v, asked(v), N), "dist", digits=4)
 
 
+def part_vectors(spark, sf_dir) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").cast("long").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("vec"))
+
+
+def order_vectors(spark, sf_dir) -> DataFrame:
+    """Price in hundreds and days since the first of 1995 of every order."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    days = F.datediff("o_orderdate", F.lit("1995-01-01")).cast("double")
+    return rows.select(F.col("o_orderkey").cast("long").alias("id"), F.array(F.col("o_totalprice") / 100, days).alias("vec"))
+
+
+def exact_knn_part_bounded(spark, sf_dir):
+    """exact_knn_part by lists with covering radii."""
+    v = part_vectors(spark, sf_dir)
+    return rounded(BoundedSearch(BOUNDED_P).build_index(v).knn_query(asked(v), N), "dist", digits=4)
+
+
+def exact_knn_orders_bounded(spark, sf_dir):
+    v = order_vectors(spark, sf_dir)
+    return rounded(BoundedSearch(BOUNDED_P).build_index(v).knn_query(asked(v), N), "dist", digits=4)
+
+
 def distances(spark, sf_dir):
     v = data(spark, sf_dir)
     return rounded(search.distance_table(v, asked(v)), "l2", "l2sq", "dot")
@@ -273,6 +299,21 @@ def knn_graph_csv(spark, sf_dir):
     return graph.graph_lines(graph.knn_graph(ivf(spark, sf_dir)[0], GRAPH_K))
 
 
+def graph_descent(spark, sf_dir):
+    """The graph of all orders by neighbour descent: its edges, whether recall against the exact graph, asked
+    for every hundredth order, is at least 0.9, and whether fewer distances were taken than there are pairs."""
+    v = order_vectors(spark, sf_dir).persist()
+    n = v.count()
+    found = neighbour_descent(v, DESCENT_K)
+    q = asked(v)
+    truth = search.exact_knn(v, q, DESCENT_K, exclude_self=True)
+    # Orders at the same distance as the last true neighbour are as good.
+    last = truth.groupBy("qid").agg((F.max("dist") + 1e-9).alias("last"))
+    hits = found.edges.join(last, found.edges["src"] == last["qid"]).where("dist <= last").count()
+    recall = hits / max(1, truth.count())
+    return spark.createDataFrame([(found.edges.count(), recall >= 0.9, found.distances < n * (n - 1) // 2)], "edges long, recall_reached boolean, below_all_pairs boolean")
+
+
 def report_blocks(spark, sf_dir):
     index, v, q = lsh(spark, sf_dir)
     hits = evaluate.with_true_distance(index.knn_query(q, N), v, q)
@@ -523,9 +564,9 @@ def kmeans_predict(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    plain = [exact_knn, exact_range, exact_knn_part, distances, scaled_vectors, lsh_hashes, lsh_ids, lsh_buckets, cube_vertices,
+    plain = [exact_knn, exact_range, exact_knn_part, exact_knn_part_bounded, exact_knn_orders_bounded, distances, scaled_vectors, lsh_hashes, lsh_ids, lsh_buckets, cube_vertices,
              kmeans_pp_init, kmeans_lloyd, kmeans_assign, residuals, silhouette_points, silhouette_clusters, silhouette_mean,
-             best_k_sweep, auto_k, ivf_build, pq_codebooks, pq_encode, pq_lut, pq_adc, knn_graph_csv, report_blocks, results_parse, metrics_summary,
+             best_k_sweep, auto_k, ivf_build, pq_codebooks, pq_encode, pq_lut, pq_adc, knn_graph_csv, graph_descent, report_blocks, results_parse, metrics_summary,
              metrics_table, trade_off, report_blocks_ivfpq, results_files, sweep_files, timed_run, parameter_echo, fvecs_scan, fvecs_files, idx3_scan, idx3_files, idx3_first_rows,
              dataset_kinds, lsh_query, clear_index, kmeans_distributed, kmeans_random_init, kmeans_empty, kmeans_predict]
     out = {f.__name__: f for f in plain}
@@ -550,6 +591,8 @@ def oracle_sql() -> dict[str, str]:
         "exact_range": O.query([], f"SELECT qid, id, round(list_distance(qv, v), 6) AS dist FROM q, v WHERE list_distance(qv, v) <= {O.number(RADIUS)}"),
         "exact_knn_part": "WITH v AS (SELECT p_partkey::BIGINT AS id, [p_size::DOUBLE, p_retailprice::DOUBLE] AS v FROM part), "
                           "d AS (SELECT a.id AS qid, b.id, list_distance(a.v, b.v) AS d FROM v a, v b WHERE a.id % 100 = 0) " + O.ranked("d", N, digits=4),
+        "exact_knn_orders_bounded": "WITH v AS (SELECT o_orderkey AS id, [o_totalprice / 100, datediff('day', TIMESTAMP '1995-01-01', o_orderdate)::DOUBLE] AS v FROM orders), "
+                                    "d AS (SELECT a.id AS qid, b.id, list_distance(a.v, b.v) AS d FROM v a, v b WHERE a.id % 100 = 0) " + O.ranked("d", N, digits=4),
         "distances": O.query([], "SELECT qid, id, round(list_distance(qv, v), 6) AS l2, round(pow(list_distance(qv, v), 2), 6) AS l2sq, round(list_inner_product(qv, v), 6) AS dot FROM q, v"),
         "scaled_vectors": O.query([], "SELECT id, pos, round(x / 255, 9) AS value FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM v)"),
         "lsh_hashes": O.query(lsh_c, "SELECT id, tbl, j, h FROM lh"),
@@ -572,6 +615,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_graph_csv": O.query([*ivf_c, "ga AS (SELECT qid AS src, fl.id AS dst, list_distance(a.v, b.v) AS d FROM fp_all JOIN fl USING (cid) JOIN v a ON a.id = qid JOIN v b ON b.id = fl.id)",
                                   f"gr AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM ga QUALIFY rank <= {GRAPH_K})"],
                                  "SELECT concat_ws(',', src::VARCHAR, string_agg(dst::VARCHAR, ',' ORDER BY rank)) AS line FROM gr GROUP BY src"),
+        "graph_descent": f"SELECT {DESCENT_K} * count(*) AS edges, true AS recall_reached, true AS below_all_pairs FROM orders",
         "report_blocks": O.query([*lsh_c, f"rk AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM ld QUALIFY rank <= {N})",
                                   "rl AS (SELECT qid, string_agg(printf('Nearest neighbor-%d: %d' || chr(10) || 'distanceApproximate: %.6f' || chr(10) || 'distanceTrue: %.6f' || chr(10), rank, id, d, d), '' ORDER BY rank) AS t FROM rk GROUP BY qid)",
                                   f"rr AS (SELECT qid, string_agg(id::VARCHAR || chr(10), '' ORDER BY id) AS t FROM ld WHERE d <= {O.number(RADIUS)} GROUP BY qid)"],
@@ -602,6 +646,7 @@ def oracle_sql() -> dict[str, str]:
     out["trade_off"] = O.query([*ctes, f"p AS ({parsed})"], "SELECT method, dataset, qps, avg_af FROM p")
     out["metrics_summary"] = O.query([*ctes, f"p AS ({parsed})"], "SELECT dataset, method, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in summary.METRICS.values()) + " FROM p GROUP BY dataset, method")
     out["metrics_table"] = out["metrics_summary"]
+    out["exact_knn_part_bounded"] = out["exact_knn_part"]
     out |= further_sql(lsh_c, ivf_c, pq_c, k_c, near)
     for name in BUILDERS:
         out[f"stored_{name}_knn"] = out[f"{name}_knn"]
