@@ -12,6 +12,7 @@ from .operators.base import Index
 from .operators.cube import Hypercube
 from .operators.evaluate import run_queries, with_true_distance
 from .operators.graph import graph_lines, knn_graph
+from .operators.kmeans import SAMPLE_ROWS
 from .operators.ivf import IVFFlat, sweep
 from .operators.lsh import LSH
 from .operators.pq import IVFPQ
@@ -143,7 +144,9 @@ def best_k(spark: SparkSession, args: list[str]) -> int:
     kind = kind_of(path)
     vectors = load_vectors(spark, path, kind, limit).persist()
     ks = [k for k in SWEEP if k <= vectors.count()]
-    scores = sweep(vectors, ks, KMeansParams(2, max_iters=100, seed=42))
+    # A sample that the limit keeps small is clustered where the driver is.
+    local = SAMPLE_ROWS if limit is not None and 0 <= limit <= SAMPLE_ROWS else 0
+    scores = sweep(vectors, ks, KMeansParams(2, max_iters=100, seed=42), local)
     reports.write_sweep(spark.createDataFrame(scores, "k int, silhouette double"), f"silhouette_results_{kind}.txt")
     return 0
 

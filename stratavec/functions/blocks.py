@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BLOCK = 1024
+#: A side of at most so many blocks and bytes is broadcast.
 SMALL_BLOCKS = 32
+SMALL_BYTES = 64_000_000
 #: Pairs of blocks that one task should take.
 TASK_PAIRS = 64
 PACKED = "ids binary, vectors binary, dim int"
@@ -85,6 +87,28 @@ def packed_by(df: DataFrame, id_col: str, vec_col: str, key: str, block: int = B
     return df.select(F.col(key).cast("int"), F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, schema)
 
 
+def packed_codes(df: DataFrame, id_col: str, codes_col: str, key: str, code: np.dtype, block: int = BLOCK) -> DataFrame:
+    """packed_by() for arrays of small integers, each held as one ``code`` (an unsigned type)."""
+    schema = f"{key} int, {PACKED}"
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1), dtype=np.int64)
+            codes = np.asarray(batch.column(2).flatten()).reshape(len(ids), -1).astype(code)
+            order = np.lexsort((ids, keys))
+            cuts = np.flatnonzero(np.diff(keys[order])) + 1
+            for run_ in np.split(order, cuts):
+                for at in range(0, len(run_), block):
+                    part = run_[at:at + block]
+                    columns = ([int(keys[part[0]])], [ids[part].tobytes()], [codes[part].tobytes()], [codes.shape[1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+
+    return df.select(F.col(key).cast("int"), F.col(id_col).cast("long"), F.col(codes_col)).mapInArrow(run, schema)
+
+
 def unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, dtype=np.int64)
     return keys, np.frombuffer(vectors).reshape(len(keys), dim)
@@ -105,18 +129,21 @@ def grid(data_blocks: int, query_blocks: int) -> tuple[int, int]:
     return x, min(max(1, query_blocks), max(1, math.ceil(tasks / x)))
 
 
-def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[..., Iterator[tuple]], key: str | None = None) -> DataFrame:
+def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[..., Iterator[tuple]], key: str | None = None, code: np.dtype | None = None) -> DataFrame:
     """Every block of ``queries`` against every block of ``data`` (both packed), or against those of
     the same ``key``: ``work(q_ids, q, ids, x)`` yields output rows.
 
     A query side of a counted, small number of blocks is broadcast and the data stays where it is;
     a larger one meets the data by equi-joins on the lanes of a grid, whose size follows from the
     counted blocks. With a key, each key's blocks of data are cut into as many shards as its pairs of
-    blocks need, and its query blocks are copied to those, so a long list is many tasks.
+    blocks need, and its query blocks are copied to those, so a long list is many tasks. With ``code`` the
+    data holds codes of that type in place of vectors, and ``work`` also gets the key.
     """
     out = to_arrow_schema(T.StructType.fromDDL(schema))
     asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    small = queries.limit(SMALL_BLOCKS + 1).count() <= SMALL_BLOCKS
+    held = F.coalesce(F.sum(F.octet_length("ids") + F.octet_length("vectors")), F.lit(0))
+    number, size = queries.limit(SMALL_BLOCKS + 1).agg(F.count(F.lit(1)), held).first()
+    small = number <= SMALL_BLOCKS and size <= SMALL_BYTES
     if small:
         pairs = data.join(F.broadcast(asked), F.col(key) == F.col(f"q_{key}")) if key else data.crossJoin(F.broadcast(asked))
     elif key:
@@ -145,10 +172,14 @@ def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[...,
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in names}
                 q = unpacked(row["q_ids"], row["q_vectors"], row["q_dim"])
-                x = unpacked(row["ids"], row["vectors"], row["dim"])
-                if q[1].shape[1] != x[1].shape[1]:
-                    raise ValueError("queries and vectors differ in dimension")
-                found = list(zip(*work(*q, *x)))
+                if code is not None:
+                    x = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["vectors"], dtype=code).reshape(-1, row["dim"])
+                    found = list(zip(*work(*q, *x, row[key])))
+                else:
+                    x = unpacked(row["ids"], row["vectors"], row["dim"])
+                    if q[1].shape[1] != x[1].shape[1]:
+                        raise ValueError("queries and vectors differ in dimension")
+                    found = list(zip(*work(*q, *x)))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(found, out)], schema=out)
 

@@ -75,11 +75,14 @@ def seed_centres(x: np.ndarray, draws: list[float]) -> list[int]:
     return chosen
 
 
-def lloyd(x: np.ndarray, centres: np.ndarray, max_iters: int, tol: float, empty: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(centres, labels of the last assignment, iterations that ran)."""
+def lloyd(x: np.ndarray, centres: np.ndarray, max_iters: int, tol: float, empty: str, by: list | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(centres, labels of the last assignment, iterations that ran). ``by`` gets the centres that the last
+    assignment went by."""
     labels, rounds = None, 0
     while rounds < max_iters:
         rounds += 1
+        if by is not None:
+            by[:] = [centres]
         found, gaps = assign(x, centres)
         unchanged = labels is not None and (found == labels).all()
         labels = found

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import cells, map_matrix, packed_by
-from ..functions.kernels import exact_distances, nearest
+from ..functions.kernels import assign, exact_distances, nearest
 from ..functions.vec import l2
 from ..plans.params import IvfParams, KMeansParams
 from ..plans.sizes import broadcast_if_small
@@ -20,14 +20,24 @@ from .search import KNN, top_n
 from .silhouette import Silhouette
 
 
-def sweep(vectors: DataFrame, ks: list[int], params: KMeansParams) -> list[tuple[int, float]]:
-    """(k, mean silhouette) of a clustering for each k."""
-    out = []
+def sweep(vectors: DataFrame, ks: list[int], params: KMeansParams, local_rows: int = 0) -> list[tuple[int, float]]:
+    """(k, mean silhouette) of a clustering for each k. Rows are labelled for all k at once, and one pass over
+    their distances scores all clusterings. ``local_rows`` is that of ``KMeans``, for samples of bounded size."""
+    by = []
     for k in ks:
-        means = KMeans(KMeansParams(k, params.max_iters, params.tol, params.init, params.seed, params.empty))
+        means = KMeans(KMeansParams(k, params.max_iters, params.tol, params.init, params.seed, params.empty), local_rows)
         means.fit(vectors)
-        out.append((k, Silhouette().compute(vectors, means.labels()).first()["silhouette"]))
-    return out
+        by.append(means.labelling_centres())
+
+    def work(columns, x):
+        return {**columns, "cids": np.stack([assign(x, centres)[0] for centres in by], axis=1).tolist()}
+
+    if not ks:
+        return []
+    typed = f"id long, vec {vectors.schema['vec'].dataType.simpleString()}, cids array<int>"
+    labelled = map_matrix(vectors.select(F.col("id").cast("long").alias("id"), "vec"), "vec", typed, work)
+    scores = {r["which"]: r["silhouette"] for r in Silhouette().compute_all(labelled, len(ks)).collect()}  # a row a k
+    return [(k, scores.get(i, 0.0)) for i, k in enumerate(ks)]
 
 
 def choose_k(vectors: DataFrame, params: IvfParams) -> int:

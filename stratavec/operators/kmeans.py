@@ -70,6 +70,10 @@ class KMeans:
     def centroids(self) -> np.ndarray:
         return self._centres
 
+    def labelling_centres(self) -> np.ndarray | None:
+        """The centres that the last assignment, labels(), went by."""
+        return self._assigned_by
+
     def labels(self) -> DataFrame:
         """(id, cid) of the last assignment, which precedes the last update of the centres."""
         return self._labels
@@ -97,7 +101,9 @@ class KMeans:
         ids = np.array([r["id"] for r in rows], dtype=np.int64)
         x = np.array([r["vec"] for r in rows])
         start = x[self._seeds_local(ids, x)]
-        self._centres, labels, rounds = lloyd(x, start, p.max_iters, p.tol, p.empty)
+        by: list[np.ndarray] = []
+        self._centres, labels, rounds = lloyd(x, start, p.max_iters, p.tol, p.empty, by)
+        self._assigned_by = by[0]
         self._labels = vectors.sparkSession.createDataFrame(list(zip(ids.tolist(), labels.tolist())), "id long, cid int")
         return rounds
 

@@ -1,9 +1,10 @@
 """Product quantisation, and inverted files of quantised residuals.
 
 A vector's parts are replaced by the nearest codewords of their codebooks. All codebooks are trained
-in one job, a group for each part, on a sample of bounded size. A query meets the codes through a
-table of squared distances to every codeword (one for each list that it reads), and the distance of
-a row is the sum of the table entries of its codes: squared, and not ranked again by exact vectors
+in one job, a group for each part, on a sample of bounded size. A search packs the codes of each list into
+blocks of bytes; queries travel as vectors to the lists that they read (a long list is cut into shards) and
+make there their tables of squared distances to every codeword. The distance of a row is the sum of the table
+entries of its codes, gathered for a whole block at once: squared, and not ranked again by exact vectors
 unless a search asks for it (``rerank``).
 """
 
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import map_matrix
+from ..functions.blocks import cells, map_matrix, packed_by, packed_codes
 from ..functions.kernels import assign, lloyd, seed_centres
 from ..functions.vec import splits
 from ..plans.draws import uniforms
@@ -22,7 +23,7 @@ from ..plans.sizes import broadcast_if_small
 from .base import Index
 from .ivf import CoarseQuantizer
 from .kmeans import sampled, spark_centres
-from .search import measured, top_n
+from .search import KNN, measured, top_n
 
 
 def train_part(x: np.ndarray, part: int, p: PqParams) -> np.ndarray:
@@ -192,20 +193,43 @@ class IVFPQ(Index):
         moved = map_matrix(self.coarse.probes(queries), "qvec", "qid long, cid int, vec array<double>", shift)
         return self.pq.compute_lut(moved)
 
+    def _tabled(self, queries: DataFrame, pick) -> DataFrame:
+        """(qid, id, dist) of what ``pick(own id, ids, distances)`` takes of each query and block of codes."""
+        probes = self.coarse.probes(queries)
+        if not len(self.coarse.centres):
+            return probes.select(F.col("qid").cast("long").alias("qid"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("dist")).limit(0)
+        pq, centres, code = self.pq, self.coarse.centres, np.dtype(np.uint8 if self.pq_params.bits <= 8 else np.uint16)
+
+        def work(q_ids, q, ids, codes, cid):
+            places = np.arange(codes.shape[1])[:, None]
+            for i, lut in zip(q_ids.tolist(), pq.tables_of(q - centres[cid])):
+                dist = lut[places, codes.T].sum(axis=0)
+                at = pick(i, ids, dist)
+                yield from zip([i] * len(at), ids[at].tolist(), dist[at].tolist())
+
+        held = packed_codes(self.named(probes), "id", "codes", "cid", code)
+        return cells(held, packed_by(probes, "qid", "qvec", "cid"), KNN, work, "cid", code)
+
     def adc(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
-        """(qid, id, adc) of all candidates; a list's codes meet the tables of its queries."""
-        lut = broadcast_if_small(self.lut(queries))
-        pairs = self.named(self.coarse.probes(queries)).join(lut, "cid")
-        pairs = pairs.where("id != qid") if exclude_self else pairs
-        return pairs.select("qid", "id", ProductQuantizer.adc_distance(F.col("lut"), F.col("codes")).alias("adc"))
+        """(qid, id, adc) of all candidates. A row is in one list, so no pair repeats."""
+        found = self._tabled(queries, lambda own, ids, dist: np.flatnonzero(ids != own) if exclude_self else np.arange(len(ids)))
+        return found.withColumnRenamed("dist", "adc")
+
+    def _short(self, queries: DataFrame, n: int, exclude_self: bool) -> DataFrame:
+        """(qid, rank, id, dist): the n nearest by table distance; a block hands on n rows a query."""
+
+        def pick(own, ids, dist):
+            order = np.lexsort((ids, np.round(dist, 9)))
+            return (order[ids[order] != own] if exclude_self else order)[:n]
+
+        return top_n(self._tabled(queries, pick), n)
 
     def knn_query(self, queries: DataFrame, n: int, exclude_self: bool = False, rerank: int | None = None) -> DataFrame:
         """(qid, rank, id, dist), dist being the squared table distance. With ``rerank``, the so many
         nearest by table distance are ranked by their exact vectors, and dist is their distance."""
-        rough = self.adc(queries, exclude_self).withColumnRenamed("adc", "dist")
         if rerank is None:
-            return top_n(rough, n)
-        short = top_n(rough, max(n, rerank)).select("qid", "id")
+            return self._short(queries, n, exclude_self)
+        short = self._short(queries, max(n, rerank), exclude_self).select("qid", "id")
         return top_n(measured(self.vectors.select("id", "vec").join(broadcast_if_small(short), "id"), queries), n)
 
     def range_search(self, queries: DataFrame, radius: float, exclude_self: bool = False, squared_radius: bool = False) -> DataFrame:

@@ -30,30 +30,44 @@ class Silhouette:
     def sums(self, vectors: DataFrame, labels: DataFrame) -> DataFrame:
         """(id, cid, other, n, total): for each row and cluster the number of the cluster's other
         members and the sum of distances to them."""
-        # The label travels as a leading component of the vector, so that blocks stay matrices.
-        marked = vectors.select("id", "vec").join(labels, "id").select("id", F.concat(F.array(F.col("cid").cast("double")), F.col("vec").cast("array<double>")).alias("vec"))
+        marked = vectors.select("id", "vec").join(labels, "id").select("id", "vec", F.array("cid").alias("cids"))
+        return self.sums_of_all(marked, 1).drop("which")
+
+    def sums_of_all(self, labelled: DataFrame, clusterings: int) -> DataFrame:
+        """(which, id, cid, other, n, total) of (id, vec, cids): sums() for each of so many clusterings, from one
+        pass over the distances."""
+        # Labels travel as leading components of the vector, so that blocks stay matrices.
+        marked = labelled.select("id", F.concat(F.col("cids").cast("array<double>"), F.col("vec").cast("array<double>")).alias("vec"))
         blocks = packed(marked, "id", "vec").persist()
         scored = blocks if self.sample is None else packed(sampled(marked, self.sample, self.seed), "id", "vec")
 
         def work(q_ids, q, ids, x):
-            dist = exact_distances(q[:, 1:], x[:, 1:])
-            cids = x[:, 0].astype(np.int64)
-            for c in np.unique(cids).tolist():
-                mine = cids == c
-                total = dist[:, mine].sum(axis=1)
-                same = (q_ids[:, None] == ids[mine][None, :]).sum(axis=1)
-                count = int(mine.sum())
+            dist = exact_distances(q[:, clusterings:], x[:, clusterings:])
+            own = q_ids[:, None] == ids[None, :]
+            for which in range(clusterings):
+                present, place = np.unique(x[:, which].astype(np.int64), return_inverse=True)
+                member = np.zeros((len(x), len(present)))
+                member[np.arange(len(x)), place] = 1
+                totals, counts, same = dist @ member, member.sum(axis=0).astype(np.int64), (own @ member).astype(np.int64)
                 for i in range(len(q)):
-                    yield int(q_ids[i]), int(q[i, 0]), c, count - int(same[i]), float(total[i])
+                    for c, other in enumerate(present.tolist()):
+                        yield which, int(q_ids[i]), int(q[i, which]), other, int(counts[c] - same[i, c]), float(totals[i, c])
+
+        parts = cells(blocks, scored, "which int, id long, cid int, other int, n long, total double", work)
+        return parts.groupBy("which", "id", "cid", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
-        parts = cells(blocks, scored, "id long, cid int, other int, n long, total double", work)
-        return parts.groupBy("id", "cid", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    def compute_all(self, labelled: DataFrame, clusterings: int) -> DataFrame:
+        """(which, silhouette) of (id, vec, cids): the mean score of each clustering."""
+        return self._scores(self.sums_of_all(labelled, clusterings), "which").groupBy("which").agg(F.avg("s").alias("silhouette"))
 
     def compute_per_point(self, vectors: DataFrame, labels: DataFrame) -> DataFrame:
         """(id, cid, s). With one cluster b is taken as unbounded, so s is 1 where a > 0."""
+        return self._scores(self.sums(vectors, labels))
+
+    def _scores(self, sums: DataFrame, *keys: str) -> DataFrame:
         own, far = F.col("other") == F.col("cid"), F.col("other") != F.col("cid")
         mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
-        ab = self.sums(vectors, labels).groupBy("id", "cid").agg(
+        ab = sums.groupBy(*keys, "id", "cid").agg(
             F.coalesce(F.max(F.when(own, mean)), F.lit(0.0)).alias("a"),
             F.max(F.when(own, F.col("n"))).alias("peers"),
             F.coalesce(F.min(F.when(far, mean)), F.lit(3.4028234663852886e38)).alias("b"),
@@ -61,7 +75,7 @@ class Silhouette:
         s = F.when(F.col("a") < F.col("b"), 1 - F.col("a") / F.col("b")).when(F.col("a") > F.col("b"), F.col("b") / F.col("a") - 1).otherwise(0.0)
         if self.singleton_zero:
             s = F.when(F.col("peers") == 0, 0.0).otherwise(s)
-        return ab.select("id", "cid", s.alias("s"))
+        return ab.select(*keys, "id", "cid", s.alias("s"))
 
     def compute_per_cluster(self, vectors: DataFrame, labels: DataFrame, k: int) -> DataFrame:
         """(cid, s) of clusters 0 to k - 1; NaN for an empty one."""

@@ -1,6 +1,7 @@
 """k-means by tasks: many blocks, running minima, and the assignment's shortlist."""
 
 import numpy as np
+import pytest
 
 from stratavec.functions import kernels
 from stratavec.operators import kmeans
@@ -50,3 +51,31 @@ def test_one_way_at_every_size(spark):
     means._fit_local = None
     assert means.fit(df) >= 1
     assert sorted(means.centroids().ravel().tolist()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+@pytest.mark.parametrize("ks, local_rows", [([2, 5, 10], 0), ([2, 5, 10, 50, 100, 200, 500], 1000)])
+def test_a_sweep_scores_all_k_from_one_pass(spark, monkeypatch, ks, local_rows):
+    """The whole sweep on a small table, against plain code; distances are taken once."""
+    from stratavec.operators import silhouette
+    from stratavec.operators.ivf import sweep
+
+    x = np.concatenate([np.random.default_rng(s).standard_normal((180, 3)) + 8 * s for s in range(3)])
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "id long, vec array<double>")
+    passes = []
+    own = silhouette.cells
+    monkeypatch.setattr(silhouette, "cells", lambda *a, **b: passes.append(1) or own(*a, **b))
+    got = sweep(df, ks, KMeansParams(k=2, max_iters=4, tol=0.0, seed=42), local_rows)
+    assert len(passes) == 1 and [k for k, _ in got] == ks
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for k, score in got:
+        _, labels, _ = kernels.lloyd(x, x[kernels.seed_centres(x, uniforms(42, k))], 4, 0.0, "farthest")
+        member = np.eye(k)[labels]
+        size = member.sum(axis=0)
+        total = near @ member
+        others = size[labels] - 1
+        a = np.where(others > 0, total[np.arange(len(x)), labels] / np.maximum(others, 1), 0)
+        mean = np.where(size > 0, total / np.maximum(size, 1), np.inf)
+        mean[np.arange(len(x)), labels] = np.inf
+        b = mean.min(axis=1)
+        s = np.where(a < b, 1 - a / b, np.where(a > b, b / np.maximum(a, 1e-300) - 1, 0))
+        assert abs(s.mean() - score) < 1e-9, k

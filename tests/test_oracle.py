@@ -16,7 +16,7 @@ def canonical(df):
 @pytest.fixture(scope="module")
 def con(small):
     con = duckdb.connect()
-    for t in ("embeddings", "part"):
+    for t in ("embeddings", "part", "orders"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return con
 
