@@ -102,7 +102,8 @@ def test_run_keeps_what_plain_code_keeps(spark, small, tmp_path):
 
 
 def test_registered():
-    assert sorted(q.queries()) == sorted(["op1_pii", "op2_toxicity", "op3_exact_dedup", "op4_near_dedup", "op5_license_scan", "op6_language_id", "op7_token_count", "op8_top_k_search", "op9_bpe_round_trip", "op10_packing"])
+    assert sorted(q.queries()) == sorted(["op1_pii", "op2_toxicity", "op3_exact_dedup", "op4_near_dedup", "op5_license_scan", "op6_language_id", "op7_token_count", "op8_top_k_search", "op9_bpe_round_trip", "op10_packing",
+                                          "op11_fill_in_middle", "op12_source_divergence", "op13_approximate_nearest"])
 
 
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
