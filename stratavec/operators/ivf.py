@@ -15,7 +15,7 @@ from ..functions.vec import l2
 from ..plans.params import IvfParams, KMeansParams
 from ..plans.sizes import broadcast_if_small
 from .base import Index
-from .kmeans import SAMPLE_ROWS, KMeans, assigned, sampled, spark_centres
+from .kmeans import SAMPLE_ROWS, KMeans, assigned, fit_all, sampled, spark_centres
 from .search import KNN, top_n
 from .silhouette import Silhouette
 
@@ -23,11 +23,7 @@ from .silhouette import Silhouette
 def sweep(vectors: DataFrame, ks: list[int], params: KMeansParams, local_rows: int = 0) -> list[tuple[int, float]]:
     """(k, mean silhouette) of a clustering for each k. Rows are labelled for all k at once, and one pass over
     their distances scores all clusterings. ``local_rows`` is that of ``KMeans``, for samples of bounded size."""
-    by = []
-    for k in ks:
-        means = KMeans(KMeansParams(k, params.max_iters, params.tol, params.init, params.seed, params.empty), local_rows)
-        means.fit(vectors)
-        by.append(means.labelling_centres())
+    by = [means.labelling_centres() for means in fit_all(vectors, ks, params, local_rows)]
 
     def work(columns, x):
         return {**columns, "cids": np.stack([assign(x, centres)[0] for centres in by], axis=1).tolist()}

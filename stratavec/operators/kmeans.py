@@ -11,6 +11,8 @@ The same way is taken at every size. A caller whose input is a bounded sample ma
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -90,7 +92,13 @@ class KMeans:
         n = vectors.count()
         if p.k > n:
             raise ValueError(f"k={p.k} is more than the {n} rows")
-        return self._fit_local(vectors) if n <= self.local_rows else self._fit_distributed(vectors, n)
+        if n <= self.local_rows:
+            return self._fit_local(vectors)
+        blocks = in_blocks(vectors).persist()
+        try:
+            return self.fit_blocks(vectors, blocks, self.seeds_distributed(vectors, n) if p.init == "random" else self._spread(blocks, n))
+        finally:
+            blocks.unpersist()
 
     # ------------------------------------------------------------ bounded samples
 
@@ -158,10 +166,9 @@ class KMeans:
             held.unpersist()
         return np.array(centres)
 
-    def _fit_distributed(self, vectors: DataFrame, n: int) -> int:
+    def fit_blocks(self, vectors: DataFrame, blocks: DataFrame, centres: np.ndarray) -> int:
+        """fit() from the given first centres, over ``in_blocks(vectors)``."""
         p = self.params
-        blocks = in_blocks(vectors).persist()
-        centres = self.seeds_distributed(vectors, n) if p.init == "random" else self._spread(blocks, n)
         rounds, last = 0, None
         while rounds < p.max_iters:
             rounds += 1
@@ -180,12 +187,28 @@ class KMeans:
             last, centres = centres, new
             if unchanged or shift < p.tol:
                 break
-        blocks.unpersist()
         self._centres, self._assigned_by = centres, last
         self._labels = assigned(vectors, last).select("id", "cid")
         return rounds
 
 
+def fit_all(vectors: DataFrame, ks: list[int], params: KMeansParams, local_rows: int = 0) -> list[KMeans]:
+    """A clustering for each k. The draws of fewer centres are the first of those of more, so one seeding by
+    k-means++ and one packing of the rows serve all."""
+    every = [KMeans(replace(params, k=k), local_rows) for k in ks]
+    n = vectors.count()
+    if not ks or params.init == "random" or n <= local_rows or max(ks) > n:
+        for means in every:
+            means.fit(vectors)
+        return every
+    blocks = in_blocks(vectors).persist()
+    seeds = KMeans(replace(params, k=max(ks)))._spread(blocks, n)
+    for means in every:
+        means.fit_blocks(vectors, blocks, seeds[:means.params.k].copy())
+    blocks.unpersist()
+    return every
+
+
 def in_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of (id, vec) in the order of ids: part (the task that packed them), and low (each row's squared
     distance from the centres so far), which is null at first."""
