@@ -28,6 +28,8 @@ from ..plans.params import KMeansParams
 SAMPLE_ROWS = 20_000
 #: Centres whose distances are taken anew in each pass of the seeding; older ones are in the running minima.
 FRESH = 32
+#: Blocks that one task holds.
+TASK_BLOCKS = 16
 KEPT = f"part int, {PACKED}, low binary"
 
 
@@ -212,7 +214,8 @@ def fit_all(vectors: DataFrame, ks: list[int], params: KMeansParams, local_rows:
 def in_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of (id, vec) in the order of ids: part (the task that packed them), and low (each row's squared
     distance from the centres so far), which is null at first."""
-    ordered = vectors.select(F.col("id").cast("long").alias("id"), "vec").repartitionByRange("id").sortWithinPartitions("id")
+    tasks = max(1, -(-vectors.count() // (TASK_BLOCKS * block)))
+    ordered = vectors.select(F.col("id").cast("long").alias("id"), "vec").repartitionByRange(tasks, "id").sortWithinPartitions("id")
     return packed(ordered, "id", "vec", block).select(F.spark_partition_id().alias("part"), "ids", "vectors", "dim", F.lit(None).cast("binary").alias("low"))
 
 
