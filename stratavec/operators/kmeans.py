@@ -156,7 +156,8 @@ class KMeans:
                 goal -= weight
             else:
                 part = sums[-1][0]
-            found = _each_task(held.where(F.col("part") == part), "v array<double>", _drawn(fresh, goal, even)).first()
+            # Collected, not first(): a limit would stop the Python worker, and the next job would start another.
+            (found,) = _each_task(held.where(F.col("part") == part), "v array<double>", _drawn(fresh, goal, even)).collect()
             centres.append(np.array(found["v"]))
             if len(centres) - done >= FRESH and len(centres) < self.params.k:
                 lower = _lowered(held, np.array(centres[done:])).persist()
@@ -259,13 +260,13 @@ def _drawn(fresh: np.ndarray, goal: float, even: bool):
     """The row at which the running sum reaches ``goal`` (of rows of weight one: passes it)."""
 
     def work(rows):
-        left, found = goal, None
+        left, found, reached = goal, None, False
         for _, _, x, low in rows:
+            if reached:
+                continue  # the input is read to its end, so that the worker serves the next job
             running = np.cumsum(np.ones(len(x)) if even else _gaps(x, low, fresh))
             at = int(np.searchsorted(running, left, side="right" if even else "left"))
-            found = x[min(at, len(x) - 1)]
-            if at < len(x):
-                break
+            found, reached = x[min(at, len(x) - 1)], at < len(x)
             left -= running[-1]
         if found is not None:
             yield (found.tolist(),)
