@@ -139,7 +139,6 @@ def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[...,
     blocks need, and its query blocks are copied to those, so a long list is many tasks. With ``code`` the
     data holds codes of that type in place of vectors, and ``work`` also gets the key.
     """
-    out = to_arrow_schema(T.StructType.fromDDL(schema))
     asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
     held = F.coalesce(F.sum(F.octet_length("ids") + F.octet_length("vectors")), F.lit(0))
     number, size = queries.limit(SMALL_BLOCKS + 1).agg(F.count(F.lit(1)), held).first()
@@ -165,6 +164,12 @@ def cells(data: DataFrame, queries: DataFrame, schema: str, work: Callable[...,
         held = data.withColumn("x", lane("ids", x)).withColumn("y", every(y))
         sent = asked.withColumn("y", lane("q_ids", y)).withColumn("x", every(x))
         pairs = held.join(sent, ["x", "y"]).drop("x", "y")
+    return paired(pairs, schema, work, key, code)
+
+
+def paired(pairs: DataFrame, schema: str, work: Callable[..., Iterator[tuple]], key: str | None = None, code: np.dtype | None = None) -> DataFrame:
+    """``work`` over rows that hold a block of data and, in columns q_*, a block of queries, as in cells()."""
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
     names = pairs.columns
 
     def run(batches):
