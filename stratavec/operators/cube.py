@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import map_matrix
-from ..functions.hashing import sign_bits, vertex
+from ..functions.hashing import sign_bits, twister_bits, vertex
 from ..functions.vec import floor_hash
 from ..plans.draws import CubeDraws, cube_draws, probe_masks
 from ..plans.params import CubeParams
@@ -30,6 +30,16 @@ class Hypercube(Index):
     def placed(self, rows: DataFrame, id_col: str, vec_col: str, engine: str = "arrow") -> DataFrame:
         """``rows`` with column vertex."""
         p, d = self.params, self.draws
+        if p.bits == "twister":
+            # The bits are NumPy work whatever the engine.
+            directions, offsets = np.array(d.directions), np.array(d.offsets)
+
+            def placed(columns, x):
+                bits = twister_bits(np.floor((x @ directions.T + offsets) / p.width).astype(np.int64), p.seed)
+                return {**columns, "vertex": bits @ (np.int64(1) << np.arange(p.projections, dtype=np.int64))}
+
+            typed = f"{id_col} long, {vec_col} {rows.schema[vec_col].dataType.simpleString()}, vertex long"
+            return map_matrix(rows.select(F.col(id_col).cast("long").alias(id_col), vec_col), vec_col, typed, placed)
         if engine == "columns":
             hashed = rows.select(id_col, vec_col, F.array(*[floor_hash(F.col(vec_col), literal(v), F.lit(t), p.width) for v, t in zip(d.directions, d.offsets)]).alias("h"))
         else:

@@ -6,7 +6,7 @@ expressions, and random draws are inlined as literals. Nothing that Spark comput
 
 from __future__ import annotations
 
-from ..functions.hashing import MODULUS, SIGN_PRIME
+from ..functions.hashing import MODULUS, PLACE_FACTOR, SIGN_PRIME
 from ..functions.vec import splits
 from .draws import cube_draws, lsh_draws, permutation, probe_masks, uniforms
 from .params import CubeParams, IvfParams, KMeansParams, LshParams, PqParams
@@ -46,14 +46,32 @@ def lsh(p: LshParams, dim: int) -> list[str]:
     ]
 
 
+def twister(seed: int) -> list[str]:
+    """cv (id, vertex) of the hashes ch (id, j, h): bits are the lowest of mt19937's first output, seeded by
+    (seed xor j * factor xor h) mod 2**32. The seeded state is a fold of 397 steps, of which the first and the last
+    are wanted; numbers are those of the generator's definition."""
+    low = 4294967295
+    return [
+        f"cw AS MATERIALIZED (SELECT DISTINCT j, h, xor(xor({seed}::BIGINT, (j::BIGINT * {PLACE_FACTOR}) & {low}), h & {low}) AS s FROM ch)",
+        f"cx AS (SELECT *, (1812433253 * xor(s, s >> 30) + 1) & {low} AS s1, list_reduce(list_prepend(s, range(1, 398)), lambda a, i: (1812433253 * xor(a, a >> 30) + i) & {low}) AS sm FROM cw)",
+        "cy AS (SELECT *, xor(xor(sm, ((s & 2147483648) | (s1 & 2147483647)) >> 1), CASE WHEN s1 % 2 = 1 THEN 2567483615 ELSE 0 END) AS y0 FROM cx)",
+        "cz AS (SELECT *, xor(y0, y0 >> 11) AS y1 FROM cy)",
+        "cz2 AS (SELECT *, xor(y1, (y1 << 7) & 2636928640) AS y2 FROM cz)",
+        "cz3 AS (SELECT *, xor(y2, (y2 << 15) & 4022730752) AS y3 FROM cz2)",
+        "cb AS MATERIALIZED (SELECT j, h, xor(y3, y3 >> 18) % 2 AS bit FROM cz3)",
+        "cv AS MATERIALIZED (SELECT id, sum(bit << j)::BIGINT AS vertex FROM ch JOIN cb USING (j, h) GROUP BY id)",
+    ]
+
+
 def cube(p: CubeParams, dim: int) -> list[str]:
     d = cube_draws(dim, p)
     rows = ",".join(f"({j},{array(d.directions[j])},{number(d.offsets[j])},{d.factors[j]}::HUGEINT,{d.shifts[j]}::HUGEINT)" for j in range(p.projections))
     masks = ",".join(f"({i},{m}::BIGINT)" for i, m in enumerate(probe_masks(p.projections, p.max_probes)))
+    vertices = f"cv AS MATERIALIZED (SELECT id, sum((((((h % {SIGN_PRIME}) + {SIGN_PRIME}) % {SIGN_PRIME})::HUGEINT * a + b) % {SIGN_PRIME} % 2)::BIGINT << j)::BIGINT AS vertex FROM ch GROUP BY id)"
     return [
         f"cp(j, dir, t, a, b) AS (VALUES {rows})",
         f"ch AS (SELECT id, j, a, b, floor((list_inner_product(v, dir) + t) / {number(p.width)})::BIGINT AS h FROM v, cp)",
-        f"cv AS MATERIALIZED (SELECT id, sum((((((h % {SIGN_PRIME}) + {SIGN_PRIME}) % {SIGN_PRIME})::HUGEINT * a + b) % {SIGN_PRIME} % 2)::BIGINT << j)::BIGINT AS vertex FROM ch GROUP BY id)",
+        *([vertices] if p.bits == "hash" else twister(p.seed)),
         f"cm(probe_no, mask) AS (VALUES {masks})",
         "cf AS (SELECT vertex, count(*) AS n FROM cv GROUP BY vertex)",
         "cq AS (SELECT id AS qid, probe_no, xor(vertex, mask) AS vertex FROM cv, cm WHERE id % 100 = 0)",

@@ -24,13 +24,17 @@ class LshParams:
 
 @dataclass(frozen=True)
 class CubeParams:
+    """bits: where the sign bit of a hash comes from, a linear ``hash`` or the first output of mt19937 (``twister``)."""
+
     projections: int = 14
     width: float = 4.0
     max_candidates: int = 10
     max_probes: int = 2
     seed: int = 1
+    bits: str = "hash"
 
     def __post_init__(self):
+        _need(self.bits in ("hash", "twister"), "the bits of a cube come from hash or twister")
         _need(1 <= self.projections <= 62, "a cube has 1 to 62 dimensions")
         _need(self.width > 0, "the hash width must be positive")
         _need(self.max_candidates >= 1 and self.max_probes >= 1, "a probe needs room for a candidate and a vertex")
