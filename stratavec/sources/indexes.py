@@ -131,8 +131,8 @@ class Stored:
         self.last = max(r["batch"] for r in steps)
         self.deleted = any(r["step"] == "delete" for r in steps)
 
-    def table(self, name: str, folders: list[int] | None = None) -> DataFrame:
-        """Live rows, of the given folders only."""
+    def table(self, name: str, folders: list[int] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+        """Live rows, of the given folders only. ``also`` keeps columns of the layout (folder, batch)."""
         schema = T.StructType([*self.schemas[name].fields, T.StructField("batch", T.LongType()), T.StructField("folder", T.IntegerType())])
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
         rows = rows if folders is None else rows.where(F.col("folder").isin(folders) if folders else F.lit(False))
@@ -140,7 +140,7 @@ class Stored:
             gone = self.spark.read.schema("id long, through long").parquet(f"{self.path}/gone").groupBy("id").agg(F.max("through").alias("through"))
             gone = broadcast_if_small(gone.withColumnRenamed("id", "gone"))
             rows = rows.join(gone, (F.col("id") == F.col("gone")) & (F.col("batch") <= F.col("through")), "left_anti")
-        return rows.select(*self.schemas[name].fieldNames())
+        return rows.select(*self.schemas[name].fieldNames(), *also)
 
     def folders(self, probes: DataFrame, name: str) -> list[int]:
         """The folders that ``probes`` name: as many values as there are folders at most."""
