@@ -25,8 +25,9 @@ from .operators.silhouette import Silhouette
 from .plans import oracle as O
 from .plans.params import CubeParams, IvfParams, KMeansParams, LshParams, PqParams
 from .plans.session import work_path
-from .sources import formats, indexes, reports
+from .sources import formats, indexes, reports, sql
 from .sources.vectors import load_vectors, read_fvecs, read_idx3, read_parquet, write_fvecs, write_idx3
+from .streaming import standing
 
 DIM = 64
 N = 5
@@ -37,6 +38,7 @@ DESCENT_K = 5
 BOUNDED_P = IvfParams(clusters=32, nprobe=1, seed=1, max_iters=20)
 LSH_P = LshParams(tables=5, hashes=4, width=2.0, seed=1)
 CUBE_P = CubeParams(projections=8, width=2.0, max_candidates=100, max_probes=6, seed=1)
+TWISTER_P = CubeParams(projections=8, width=2.0, max_candidates=100, max_probes=6, seed=1, bits="twister")
 KMEANS_P = KMeansParams(k=8, max_iters=3, tol=0.0, seed=1, empty="keep")
 IVF_P = IvfParams(clusters=8, nprobe=2, seed=1, max_iters=3, tol=0.0, empty="keep")
 PQ_P = PqParams(parts=4, bits=3, max_iters=3, tol=0.0, empty="keep")
@@ -197,6 +199,15 @@ def cube_vertices(spark, sf_dir):
     return cube(spark, sf_dir)[0].rows.select("id", "vertex")
 
 
+def cube_twister_vertices(spark, sf_dir):
+    return Hypercube(DIM, TWISTER_P).build_index(data(spark, sf_dir)).rows.select("id", "vertex")
+
+
+def cube_twister_knn(spark, sf_dir):
+    v = data(spark, sf_dir)
+    return rounded(Hypercube(DIM, TWISTER_P).build_index(v).knn_query(asked(v), N), "dist")
+
+
 # ---------------------------------------------------------------- clustering
 
 def kmeans_pp_init(spark, sf_dir):
@@ -385,7 +396,12 @@ def timed_run(spark, sf_dir):
 
 
 def parameter_echo(spark, sf_dir):
-    return spark.createDataFrame(parse_search(FLAGS.split()).echo(), "name string, value string")
+    """The parameters of a command line, and how many vectors and answers a search by them over the table has."""
+    run = parse_search(FLAGS.split())
+    v = data(spark, sf_dir)
+    found = Hypercube(DIM, run.cube).build_index(v).knn_query(asked(v), run.n)
+    counted = [t.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("name"), "value") for name, t in (("vectors", v), ("answers", found))]
+    return spark.createDataFrame(run.echo(), "name string, value string").unionByName(counted[0]).unionByName(counted[1])
 
 
 # ---------------------------------------------------------------- files of vectors
@@ -496,6 +512,37 @@ def updated(name: str) -> Query:
     return run
 
 
+def _registered_ivf(spark, sf_dir) -> None:
+    """Table functions emb_* over a stored index, and the view emb_asked of the queries."""
+    index, _, q = ivf(spark, sf_dir)
+    path = work_path(spark, "index-sql")
+    indexes.write_index(index, path)
+    sql.register_search(spark, "emb", path)
+    q.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).createOrReplaceTempView("emb_asked")
+
+
+def sql_ivf_knn(spark, sf_dir):
+    """The stored index searched by a statement in SQL."""
+    _registered_ivf(spark, sf_dir)
+    return rounded(spark.sql(sql.nearest_sql("emb", "emb_asked", N)), "dist")
+
+
+def sql_ivf_range(spark, sf_dir):
+    _registered_ivf(spark, sf_dir)
+    return rounded(spark.sql(sql.within_sql("emb", "emb_asked", RADIUS)), "dist")
+
+
+def standing_knn(spark, sf_dir):
+    """All vectors arrive as a stream of three micro-batches; the queries' standing answers at its end."""
+    v = data(spark, sf_dir)
+    folder = work_path(spark, "standing")
+    v.repartition(3, "id").write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    standing.keep_standing(arriving, asked(v), N, f"{folder}/out", f"{folder}/check").awaitTermination()
+    changes = spark.read.schema(f"{standing.ANSWERS}, batch long").parquet(f"{folder}/out")
+    return rounded(standing.current(changes), "dist")
+
+
 #: Indexes whose updates have an oracle; the cube's soft cap follows the fill, which the tests compare with a rebuild.
 UPDATED = ["lsh", "ivf", "ivfpq"]
 
@@ -564,8 +611,8 @@ def kmeans_predict(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    plain = [exact_knn, exact_range, exact_knn_part, exact_knn_part_bounded, exact_knn_orders_bounded, distances, scaled_vectors, lsh_hashes, lsh_ids, lsh_buckets, cube_vertices,
-             kmeans_pp_init, kmeans_lloyd, kmeans_assign, residuals, silhouette_points, silhouette_clusters, silhouette_mean,
+    plain = [exact_knn, exact_range, exact_knn_part, exact_knn_part_bounded, exact_knn_orders_bounded, distances, scaled_vectors, lsh_hashes, lsh_ids, lsh_buckets, cube_vertices, cube_twister_vertices,
+             cube_twister_knn, sql_ivf_knn, sql_ivf_range, standing_knn, kmeans_pp_init, kmeans_lloyd, kmeans_assign, residuals, silhouette_points, silhouette_clusters, silhouette_mean,
              best_k_sweep, auto_k, ivf_build, pq_codebooks, pq_encode, pq_lut, pq_adc, knn_graph_csv, graph_descent, report_blocks, results_parse, metrics_summary,
              metrics_table, trade_off, report_blocks_ivfpq, results_files, sweep_files, timed_run, parameter_echo, fvecs_scan, fvecs_files, idx3_scan, idx3_files, idx3_first_rows,
              dataset_kinds, lsh_query, clear_index, kmeans_distributed, kmeans_random_init, kmeans_empty, kmeans_predict]
@@ -585,6 +632,7 @@ def oracle_sql() -> dict[str, str]:
     lsh_c, cube_c, ivf_c, pq_c = O.lsh(LSH_P, DIM), O.cube(CUBE_P, DIM), O.ivf(IVF_P), O.ivfpq(IVF_P, PQ_P, DIM)
     k_c, t, pt = O.whole_kmeans(KMEANS_P), KMEANS_P.max_iters, PQ_P.max_iters
     near = f"k_near AS MATERIALIZED (SELECT id, any_value(v) AS v, min_by(cid, struct_pack(d := list_distance(v, c), i := cid)) AS cid, min(list_distance(v, c)) AS d FROM v, k_g{t} GROUP BY id)"
+    twister_c = O.cube(TWISTER_P, DIM)
     by_label = ["lab AS (SELECT id, v, label AS cid FROM v)", *O.silhouette("s", "lab")]
     out = {
         "exact_knn": O.query(["d AS (SELECT qid, id, list_distance(qv, v) AS d FROM q, v)"], O.ranked("d", N)),
@@ -599,6 +647,8 @@ def oracle_sql() -> dict[str, str]:
         "lsh_ids": O.query(lsh_c, "SELECT tbl, hid, id FROM li"),
         "lsh_buckets": O.query(lsh_c, "SELECT tbl, hid % greatest(1, (SELECT count(*) FROM v) // 4) AS bucket, count(*) AS n FROM li GROUP BY 1, 2"),
         "cube_vertices": O.query(cube_c, "SELECT id, vertex FROM cv"),
+        "cube_twister_vertices": O.query(twister_c, "SELECT id, vertex FROM cv"),
+        "cube_twister_knn": O.query(twister_c, O.ranked("cd", N)),
         "kmeans_pp_init": O.query(k_c, "SELECT i::BIGINT AS cid, pos::BIGINT AS pos, round(x, 6) AS value FROM (SELECT i, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM k_s)"),
         "kmeans_lloyd": O.query(k_c, f"SELECT cid::BIGINT AS cid, pos::BIGINT AS pos, round(x, 6) AS value FROM (SELECT cid, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM k_g{t})"),
         "kmeans_assign": O.query([*k_c, near], "SELECT id, cid::BIGINT AS cid, round(d, 6) AS dist FROM k_near"),
@@ -647,6 +697,7 @@ def oracle_sql() -> dict[str, str]:
     out["metrics_summary"] = O.query([*ctes, f"p AS ({parsed})"], "SELECT dataset, method, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in summary.METRICS.values()) + " FROM p GROUP BY dataset, method")
     out["metrics_table"] = out["metrics_summary"]
     out["exact_knn_part_bounded"] = out["exact_knn_part"]
+    out["sql_ivf_knn"], out["sql_ivf_range"], out["standing_knn"] = out["ivf_knn"], out["ivf_range"], out["exact_knn"]
     out |= further_sql(lsh_c, ivf_c, pq_c, k_c, near)
     for name in BUILDERS:
         out[f"stored_{name}_knn"] = out[f"{name}_knn"]
@@ -665,7 +716,9 @@ def further_sql(lsh_c: list[str], ivf_c: list[str], pq_c: list[str], k_c: list[s
                                         f"rr AS (SELECT qid, string_agg(id::VARCHAR || chr(10), '' ORDER BY id) AS t FROM pd WHERE d <= {O.number(RADIUS)} GROUP BY qid)"],
                                        "SELECT qid, 'Query: ' || qid || chr(10) || coalesce(rl.t, '') || 'R-near neighbors:' || chr(10) || coalesce(rr.t, '') || chr(10) AS text FROM q LEFT JOIN rl USING (qid) LEFT JOIN rr USING (qid)"),
         "timed_run": O.query([*ivf_c, *O.truth(N), *O.scored("fd", N)], "SELECT 'ivf' AS method, 'embeddings' AS dataset, true AS range_search, round(avg_af, 6) AS avg_af, n_found, round(recall_at_n, 6) AS recall_at_n, true AS qps, true AS t_approx_ms, true AS t_true_ms FROM e"),
-        "parameter_echo": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}')" for n, v in ECHO.items()) + ") AS t(name, value)",
+        "parameter_echo": O.query([*O.cube(ECHO_P, DIM), f"r AS ({O.ranked('cd', 3)})"],
+                                  "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}')" for n, v in ECHO.items()) + ") AS t(name, value) "
+                                  "UNION ALL SELECT 'vectors', count(*)::VARCHAR FROM v UNION ALL SELECT 'answers', count(*)::VARCHAR FROM r"),
         "fvecs_scan": O.query([], f"SELECT id, pos, round(x, 6) AS value FROM (SELECT id, {places} FROM v)"),
         "fvecs_files": O.query(["d AS (SELECT qid, id, list_distance(qv, v) AS d FROM q, v)"], O.ranked("d", N)),
         "idx3_files": "WITH v AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)::DOUBLE) AS v FROM embeddings), "
@@ -703,7 +756,8 @@ ECHO = {
     "data": "base.fvecs", "queries": "query.fvecs", "output": "results.txt", "kind": "sift", "method": "hypercube", "n": "3", "radius": "1.5", "do_range": "True",
     "graph": "False", "max_data": "10000", "max_queries": "None",
     "lsh.tables": "5", "lsh.hashes": "4", "lsh.width": "2.0", "lsh.seed": "1",
-    "cube.projections": "10", "cube.width": "2.0", "cube.max_candidates": "50", "cube.max_probes": "4", "cube.seed": "1",
+    "cube.projections": "10", "cube.width": "2.0", "cube.max_candidates": "50", "cube.max_probes": "4", "cube.seed": "1", "cube.bits": "hash",
     "ivf.clusters": "50", "ivf.nprobe": "5", "ivf.seed": "1", "ivf.max_iters": "100", "ivf.tol": "0.0001", "ivf.empty": "farthest",
     "pq.parts": "50", "pq.bits": "8", "pq.seed": "1337", "pq.max_iters": "100", "pq.tol": "0.0001", "pq.sample": "20000", "pq.empty": "farthest",
 }
+ECHO_P = CubeParams(projections=10, width=2.0, max_candidates=50, max_probes=4, seed=1)
