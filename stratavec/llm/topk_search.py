@@ -176,8 +176,9 @@ def _grouped(df: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
 def _visited(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(dim, route, block, row, vec_id, score): the best k of every block of ``asked`` (dim, route,
     salt, home, block, queries, least) in the shard (dim, route, salt) that it names; ``home`` is the
-    subtree of its queries. Blocks are shuffled to the trees, one tree at a time is held."""
-    pairs = asked.join(index, ["dim", "route", "salt"]).select("dim", "home", "block", "queries", "least", "tree")
+    subtree of its queries. Blocks are shuffled to the trees, one tree at a time is held. Trees of copies are small as
+    files and large in memory, so their size as files must not make them a broadcast."""
+    pairs = asked.join(index.hint("merge"), ["dim", "route", "salt"]).select("dim", "home", "block", "queries", "least", "tree")
     schema = "dim int, home int, block int, row long, vec_id long, score long"
     out = to_arrow_schema(T.StructType.fromDDL(schema))
 
@@ -287,10 +288,10 @@ def top_k(rows: DataFrame, settings: TreeSettings = TreeSettings(), id_col: str
                     if r != h or part != b % int(counts[h]):
                         yield d, r, part, h, b, blob, least.tobytes()
 
-    more = map_rows(asked.join(kth, ["dim", "home", "block"], "left").select("dim", "home", "block", "queries", "kth"),
+    more = map_rows(asked.join(kth.hint("merge"), ["dim", "home", "block"], "left").select("dim", "home", "block", "queries", "kth"),
                     "dim int, route int, salt int, home int, block int, queries binary, least binary", surviving)
     found = first.unionByName(_visited(index, more, k)).select("row", "vec_id", "score")
-    return _best(found, k).join(named, "row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _best(found, k).join(named.hint("merge"), "row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 TOP_K_SQL = """

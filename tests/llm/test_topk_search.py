@@ -63,3 +63,11 @@ def test_blocks_reach_only_shards_that_can_beat_their_scores(spark, monkeypatch)
     assert run(spark, rows, settings) == expected(rows, 5)
     all_pairs = len({r for r, _ in pairs[1]}) * len({h for _, h in pairs[0]})
     assert len(pairs[1]) < 0.5 * all_pairs
+
+
+def test_trees_are_never_broadcast(spark):
+    """Copies make files of trees small and the trees themselves large; a broadcast would pass them through the driver."""
+    rows = [(i, [1.0, 0.5] if i % 3 else [float(i % 7), 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plan = top_k(df, TreeSettings(shard_rows=32, page_rows=4))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
