@@ -56,7 +56,7 @@ class Index:
 
     def nn_query(self, queries: DataFrame, epsilon: float = 0.1) -> DataFrame:
         """(qid, id): the relaxed nearest neighbour, -1 without candidates."""
-        return eps_nearest(self.vectors, queries, self.measured(queries), epsilon)
+        return eps_nearest(self.vectors, queries, self.knn_query(queries, 1).select("qid", "id", "dist"), epsilon)
 
     def persist(self) -> "Index":
         self.rows = self.rows.persist()

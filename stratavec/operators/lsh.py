@@ -6,14 +6,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import map_matrix
+from ..functions.blocks import cells, gathered, map_matrix, packed
 from ..functions.hashing import bucket, composite
-from ..functions.vec import floor_hash
+from ..functions.kernels import nearest, paired_distances
+from ..functions.vec import floor_hash, l2
 from ..plans.draws import LshDraws, lsh_draws
 from ..plans.params import LshParams
 from ..plans.session import materialised
 from ..plans.sizes import broadcast_if_small, is_small
 from .base import Index, dimension
+from .search import KNN, top_n
+
+#: Candidate pairs beyond this share of all pairs are found block by block.
+COMMON = 1 / 32
 
 
 def literal(values) -> Column:
@@ -103,3 +108,58 @@ class LSH(Index):
             return entries.join(F.broadcast(probes), ["tbl", "hid"]).select("qid", "id", "vec")
         pairs = self.entries().join(probes, ["tbl", "hid"]).select("qid", "id").distinct()
         return pairs.join(self.vectors.select("id", "vec"), "id").select("qid", "id", "vec")
+
+    def _common(self, queries: DataFrame) -> bool:
+        """Whether pairs that share an identifier (a pair counts once a table) are more than COMMON of all pairs."""
+        asked = self.identified(queries.select("qid", "qvec"), "qid", "qvec", self.engine)
+        probes = asked.select(F.posexplode("hids").alias("tbl", "hid")).groupBy("tbl", "hid").agg(F.count(F.lit(1)).alias("q_n"))
+        held = (self.entries() if self.stored is None else self.stored.rows_of(probes)).groupBy("tbl", "hid").agg(F.count(F.lit(1)).alias("n"))
+        met = held.join(probes, ["tbl", "hid"]).agg(F.coalesce(F.sum(F.col("n") * F.col("q_n")), F.lit(0))).first()[0]
+        return met > COMMON * queries.count() * self.vectors.count()
+
+    def _blocks(self, queries: DataFrame, work) -> DataFrame:
+        """``work(q_ids, q, ids, x, allowed)`` over blocks of queries and of vectors, ``allowed`` telling which share an
+        identifier. A pair comes once, and none leaves a task but what ``work`` takes. Of a stored index the vectors of hits are read."""
+        tables = self.params.tables
+        asked = self.identified(queries.select("qid", "qvec"), "qid", "qvec", self.engine)
+        held = self.rows
+        if self.stored is not None:
+            probes = asked.select(F.posexplode("hids").alias("tbl", "hid")).distinct()
+            hits = materialised(self.stored.rows_of(probes).join(broadcast_if_small(probes), ["tbl", "hid"], "left_semi").select("id").distinct(), "lsh-hits")
+            held = self.identified(self.stored.rows_of(hits, "vectors").join(broadcast_if_small(hits), "id", "left_semi"), "id", "vec", self.engine)
+
+        def pair(q_ids, q, ids, x):
+            allowed = np.zeros((len(q), len(x)), dtype=bool)
+            for t in range(tables):
+                allowed |= q[:, t, None] == x[None, :, t]
+            if allowed.any():
+                yield from work(q_ids, q[:, tables:], ids, x[:, tables:], allowed)
+
+        # Identifiers, below 2^53, travel as leading components of the vectors.
+        marked = [t.select(i, F.concat(F.col("hids").cast("array<double>"), F.col(v).cast("array<double>")).alias("vec")) for t, i, v in ((held, "id", "vec"), (asked, "qid", "qvec"))]
+        return cells(packed(marked[0], "id", "vec"), gathered(marked[1], "qid", "vec"), KNN, pair)
+
+    def knn_query(self, queries: DataFrame, n: int, exclude_self: bool = False) -> DataFrame:
+        """(qid, rank, id, dist). Where many pairs share an identifier, a block hands on n rows a query."""
+        if not self.dim or self.distance is not l2 or not self._common(queries):
+            return super().knn_query(queries, n, exclude_self)
+
+        def work(q_ids, q, ids, x, allowed):
+            for i, places, dist in nearest(q, ids, x, n, q_ids if exclude_self else None, allowed):
+                yield from zip([int(q_ids[i])] * len(places), ids[places].tolist(), dist.tolist())
+
+        return top_n(self._blocks(queries, work), n)
+
+    def range_search(self, queries: DataFrame, radius: float, exclude_self: bool = False) -> DataFrame:
+        if not self.dim or self.distance is not l2 or not self._common(queries):
+            return super().range_search(queries, radius, exclude_self)
+
+        def work(q_ids, q, ids, x, allowed):
+            if exclude_self:
+                allowed &= q_ids[:, None] != ids[None, :]
+            r, c = np.nonzero(allowed & (paired_distances(q, x) <= radius * (1 + 1e-9) + 1e-12))
+            dist = np.sqrt(((q[r] - x[c]) ** 2).sum(axis=1))
+            near = dist <= radius
+            yield from zip(q_ids[r[near]].tolist(), ids[c[near]].tolist(), dist[near].tolist())
+
+        return self._blocks(queries, work)
