@@ -67,3 +67,17 @@ def test_descent_of_small_and_hub_like_tables(spark):
     assert found.distances < 301 * 300 / 2
     with pytest.raises(ValueError):
         DescentParams(group=1)
+
+
+def test_lists_stay_as_small_as_the_table_grows(spark, monkeypatch):
+    from stratavec.operators import bounded
+
+    monkeypatch.setattr(bounded, "LIST_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((1500, 2)), 2)
+    x[1000:1200] = x[5]  # copies, which no cut parts
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    index = BoundedSearch(IvfParams(clusters=4, nprobe=1)).build_index(v)
+    assert len(index.sizes) > 15 and index.sizes.sum() == 1500
+    assert sorted(map(tuple, index.knn_query(asked(v), 6, True).collect())) == sorted(map(tuple, exact_knn(v, asked(v), 6, True).collect()))
+    assert index.share_read(asked(v), 6, True) < 0.3  # of four lists a query would read one at least, most often two
