@@ -7,15 +7,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import map_matrix
+from ..functions.blocks import cells, gathered, map_matrix, packed
 from ..functions.hashing import sign_bits, twister_bits, vertex
-from ..functions.vec import floor_hash
+from ..functions.vec import floor_hash, l2
 from ..plans.draws import CubeDraws, cube_draws, probe_masks
 from ..plans.params import CubeParams
 from ..plans.session import materialised
 from ..plans.sizes import broadcast_if_small
 from .base import Index, dimension
-from .lsh import literal
+from .lsh import COMMON, literal
+from .search import KNN, nearest_allowed, top_n, within_allowed
+
+#: Vertices of more bits do not travel as components of vectors.
+EXACT_BITS = 52
 
 
 class Hypercube(Index):
@@ -82,3 +86,45 @@ class Hypercube(Index):
         probes = self.probes(queries).select("qid", "vertex")
         probes = probes if self.stored is None else materialised(probes, "cube-probes")
         return self.named(probes).join(broadcast_if_small(probes), "vertex").select("qid", "id", "vec")
+
+    def _visited(self, queries: DataFrame) -> DataFrame | None:
+        """(qid, own, visits) where pairs of a query and a row on a vertex that it visits are more than COMMON of all pairs: the visits
+        are the first of the walk from its own vertex. None elsewhere."""
+        if not self.dim or self.distance is not l2 or self.params.projections > EXACT_BITS:
+            return None
+        probes = materialised(self.probes(queries), "cube-probes")
+        met = self.fill().join(probes.groupBy("vertex").agg(F.count(F.lit(1)).alias("q_n")), "vertex").agg(F.coalesce(F.sum(F.col("n") * F.col("q_n")), F.lit(0))).first()[0]
+        if met <= COMMON * queries.count() * self.vectors.count():
+            return None
+        return probes.groupBy("qid").agg(F.min_by("vertex", "probe_no").alias("own"), F.count(F.lit(1)).alias("visits"), F.collect_list("vertex").alias("vertices"))
+
+    def _blocks(self, queries: DataFrame, visited: DataFrame, work) -> DataFrame:
+        """``work(q_ids, q, ids, x, allowed)`` over blocks of queries and of vectors, ``allowed`` telling which rows lie on vertices that a
+        query visits. A row is on one vertex, so no pair repeats, and none leaves a task but what ``work`` takes."""
+        masks = np.array(probe_masks(self.params.projections, self.params.max_probes), dtype=np.int64)
+
+        def pair(q_ids, q, ids, x):
+            vertices, at = np.unique(x[:, 0].astype(np.int64), return_inverse=True)
+            walk = q[:, :1].astype(np.int64) ^ masks
+            place = np.minimum(np.searchsorted(vertices, walk), len(vertices) - 1)
+            r, c = np.nonzero((vertices[place] == walk) & (np.arange(len(masks)) < q[:, 1:2]))
+            on = np.zeros((len(q), len(vertices)), dtype=bool)
+            on[r, place[r, c]] = True
+            if len(r):
+                yield from work(q_ids, q[:, 2:], ids, x[:, 2:], on[:, at])
+
+        held = self.rows if self.stored is None else self.named(visited.select(F.explode("vertices").alias("vertex")))
+        asked = queries.select("qid", "qvec").join(broadcast_if_small(visited.drop("vertices")), "qid")
+        # Vertex and visits travel as leading components of the vectors.
+        marked = [t.select(i, F.concat(F.array(F.col(a).cast("double"), b), F.col(v).cast("array<double>")).alias("vec"))
+                  for t, i, v, a, b in ((held, "id", "vec", "vertex", F.lit(0.0)), (asked, "qid", "qvec", "own", F.col("visits").cast("double")))]
+        return cells(packed(marked[0], "id", "vec"), gathered(marked[1], "qid", "vec"), KNN, pair)
+
+    def knn_query(self, queries: DataFrame, n: int, exclude_self: bool = False) -> DataFrame:
+        """(qid, rank, id, dist). Where queries visit many rows, a block hands on n rows a query."""
+        visited = self._visited(queries)
+        return super().knn_query(queries, n, exclude_self) if visited is None else top_n(self._blocks(queries, visited, nearest_allowed(n, exclude_self)), n)
+
+    def range_search(self, queries: DataFrame, radius: float, exclude_self: bool = False) -> DataFrame:
+        visited = self._visited(queries)
+        return super().range_search(queries, radius, exclude_self) if visited is None else self._blocks(queries, visited, within_allowed(radius, exclude_self))

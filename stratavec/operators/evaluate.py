@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import l2
+from ..plans.session import materialised
 from ..plans.sizes import broadcast_if_small
 from .base import Index
 from .search import exact_knn
@@ -23,7 +24,8 @@ def with_true_distance(found: DataFrame, vectors: DataFrame, queries: DataFrame)
 
 def per_query(found: DataFrame, truth: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(qid, af, recall, hits): af is null for a query without an answer or with a true distance of
-    at most 1e-12; every query has a row."""
+    at most 1e-12; every query has a row. Both answers, n rows a query, are written, as each is read more than once."""
+    found, truth = materialised(found.select("qid", "rank", "id", "dist"), "found"), materialised(truth.select("qid", "rank", "id", "dist"), "truth")
     best = found.where("rank = 1").select("qid", F.col("dist").alias("got"))
     true_best = truth.where("rank = 1").select("qid", F.col("dist").alias("true"))
     size = truth.groupBy("qid").agg(F.least(F.lit(n), F.count(F.lit(1))).alias("size"))

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import cells, gathered, map_matrix, packed
 from ..functions.hashing import bucket, composite
-from ..functions.kernels import nearest, paired_distances
 from ..functions.vec import floor_hash, l2
 from ..plans.draws import LshDraws, lsh_draws
 from ..plans.params import LshParams
 from ..plans.session import materialised
 from ..plans.sizes import broadcast_if_small, is_small
 from .base import Index, dimension
-from .search import KNN, top_n
+from .search import KNN, nearest_allowed, top_n, within_allowed
 
 #: Candidate pairs beyond this share of all pairs are found block by block.
 COMMON = 1 / 32
@@ -144,22 +143,10 @@ class LSH(Index):
         if not self.dim or self.distance is not l2 or not self._common(queries):
             return super().knn_query(queries, n, exclude_self)
 
-        def work(q_ids, q, ids, x, allowed):
-            for i, places, dist in nearest(q, ids, x, n, q_ids if exclude_self else None, allowed):
-                yield from zip([int(q_ids[i])] * len(places), ids[places].tolist(), dist.tolist())
-
-        return top_n(self._blocks(queries, work), n)
+        return top_n(self._blocks(queries, nearest_allowed(n, exclude_self)), n)
 
     def range_search(self, queries: DataFrame, radius: float, exclude_self: bool = False) -> DataFrame:
         if not self.dim or self.distance is not l2 or not self._common(queries):
             return super().range_search(queries, radius, exclude_self)
 
-        def work(q_ids, q, ids, x, allowed):
-            if exclude_self:
-                allowed &= q_ids[:, None] != ids[None, :]
-            r, c = np.nonzero(allowed & (paired_distances(q, x) <= radius * (1 + 1e-9) + 1e-12))
-            dist = np.sqrt(((q[r] - x[c]) ** 2).sum(axis=1))
-            near = dist <= radius
-            yield from zip(q_ids[r[near]].tolist(), ids[c[near]].tolist(), dist[near].tolist())
-
-        return self._blocks(queries, work)
+        return self._blocks(queries, within_allowed(radius, exclude_self))
