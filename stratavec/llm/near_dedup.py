@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import map_rows, trim
+from .arrow import map_batches, map_rows, trim
 from .common import discard, written
 from .joins import hot_join, sieve, sieved
 
@@ -136,7 +136,7 @@ def sorted_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[t
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found), out)], schema=out)
 
-    return arranged.mapInArrow(run, schema)
+    return map_batches(arranged, run, schema)
 
 
 def _struct(schema: str):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.sizes import broadcast_if_small
-from .arrow import trim
+from .arrow import map_batches, trim
 from .common import written
 from .tokenizer import load, public_path
 
@@ -220,7 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: PackSettings
         if out:
             yield table(out)
 
-    return _in_step_groups(written(body.mapInArrow(run, schema), "packed"), settings)
+    return _in_step_groups(written(map_batches(body, run, schema), "packed"), settings)
 
 
 def pack_with_public(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", settings: PackSettings = PackSettings()) -> DataFrame:

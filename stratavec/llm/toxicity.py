@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_rows, trim
+from .arrow import map_batches, map_rows, trim
 from .common import fold, sample_below, table
 
 _WORD = re.compile(r"[^\W_]+")
@@ -184,7 +184,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = Ftrl
             yield batch.filter(pa.array(keep, pa.bool_()))
             trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def toxicity_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
